@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .packing import op8_pattern_packing
 from .token_output import op3_token_volumes
 
-QUERIES = {"op3_token_volumes": op3_token_volumes}
+QUERIES = {"op3_token_volumes": op3_token_volumes, "op8_pattern_packing": op8_pattern_packing}
 ORACLES: dict[str, str] = {}
