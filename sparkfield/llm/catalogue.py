@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .packing import op8_pattern_packing
+from .quality import op7_quality_votes
 from .token_output import op3_token_volumes
 
-QUERIES = {"op3_token_volumes": op3_token_volumes, "op8_pattern_packing": op8_pattern_packing}
+QUERIES = {"op3_token_volumes": op3_token_volumes, "op7_quality_votes": op7_quality_votes, "op8_pattern_packing": op8_pattern_packing}
 ORACLES: dict[str, str] = {}

@@ -117,11 +117,11 @@ def write_volumes(docs: DataFrame, vocabulary: str | None = None, volume_ids: in
 
     def volumes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = tokens.encoder(vocabulary)
-        names, parts, total = [], [], 0
+        names, parts, total, before = [], [], 0, 0
 
         def close() -> pd.DataFrame:
             lengths = np.array([len(p) // 4 for p in parts], np.int64)
-            row = {"first_doc": names[0], "doc_ids": list(names), "n_docs": len(parts), "n_ids": total, "payload": pack_volume(lengths, b"".join(parts))}
+            row = {"first_doc": names[0], "doc_ids": list(names), "n_docs": len(parts), "n_ids": total, "ids_before": before, "payload": pack_volume(lengths, b"".join(parts))}
             return pd.DataFrame([row])
 
         for batch in batches:
@@ -131,7 +131,7 @@ def write_volumes(docs: DataFrame, vocabulary: str | None = None, volume_ids: in
                 total += len(parts[-1]) // 4
                 if total >= volume_ids:
                     yield close()
-                    names, parts, total = [], [], 0
+                    names, parts, total, before = [], [], 0, before + total
         if parts:
             yield close()
 
@@ -141,21 +141,22 @@ def write_volumes(docs: DataFrame, vocabulary: str | None = None, volume_ids: in
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
         .select("doc_id", "text")
     )
-    table = ordered.mapInPandas(volumes, "first_doc long, doc_ids array<long>, n_docs long, n_ids long, payload binary")
-    table = table.withColumn("partition", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
+    table = ordered.mapInPandas(volumes, "first_doc long, doc_ids array<long>, n_docs long, n_ids long, ids_before long, payload binary")
+    table = table.withColumn("partition", F.spark_partition_id())
     return common.written(table, "volumes")
 
 
 def with_starts(volumes: DataFrame) -> DataFrame:
-    """``volume_start``: the ids in all volumes before. Running totals over one short row a volume."""
-    sizes = volumes.select("partition", "place", "n_ids")
-    parts = sizes.groupBy("partition").agg(F.sum("n_ids").alias("part_ids"))
-    before = F.coalesce(F.sum("part_ids").over(Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("partition", before.alias("part_start"))
-    inside = Window.partitionBy("partition").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(parts, "partition")
-    starts = starts.select("place", (F.col("part_start") + F.col("inside")).alias("volume_start"))
-    return volumes.join(starts, "place")
+    """``volume_start``: the ids in all volumes before.
+
+    A volume knows the ids before it in its partition; the partitions' totals, as many rows
+    as ``spark.sql.shuffle.partitions`` at most, are summed up and sent to all tasks.
+    """
+    totals = volumes.groupBy("partition").agg(F.sum("n_ids").alias("ids"))
+    before = F.sum("ids").over(Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1))
+    starts = totals.select("partition", F.coalesce(before, F.lit(0)).alias("part_start"))
+    joined = volumes.join(F.broadcast(starts), "partition")
+    return joined.withColumn("volume_start", F.col("part_start") + F.col("ids_before"))
 
 
 def read_documents(volumes: DataFrame) -> DataFrame:
@@ -186,7 +187,7 @@ def export(volumes: DataFrame, folder: str) -> list[str]:
 
     os.makedirs(folder, exist_ok=True)
     out = []
-    for k, row in enumerate(volumes.orderBy("place").select("payload").toLocalIterator()):
+    for k, row in enumerate(volumes.orderBy("partition", "ids_before").select("payload").toLocalIterator()):
         out.append(f"{folder}/{k:08d}.sftv")
         with open(out[-1], "wb") as f:
             f.write(row.payload)

@@ -1,9 +1,11 @@
-"""Token ids by the tokenizers library, with a bounded memo of pre-tokens.
-
-The byte-level model never merges across pre-tokens, so the ids of a text are the
-concatenation of the ids of its pre-tokens. Each distinct pre-token is encoded by the
-library once per worker and remembered; texts in which the cut into pre-tokens could be
-in doubt (odd white space, scripts beyond Cyrillic) go to the library whole.
+"""Token ids by the tokenizers library, with a bounded memo of words.
+
+The byte-level model never merges across pre-tokens, and a single space before a visible
+character always opens one. So the ids of a text are the concatenation of the ids of its
+chunks: what stands before the first space, then each space with what follows it. The
+library encodes each distinct chunk once per worker, all new ones of a batch in one call;
+texts in which the cut could be in doubt (odd white space, scripts beyond Cyrillic) go to
+the library whole.
 """
 
 from __future__ import annotations
@@ -15,11 +17,22 @@ import numpy as np
 
 END_ID = 2
 END = np.array([END_ID], "<u4").tobytes()
-MEMO_ENTRIES = 1_500_000  # of each memo; a full memo is emptied
-TEXTS_AT_ONCE = 256
+MEMO_ENTRIES = 1_000_000  # a full memo is emptied
+TEXTS_AT_ONCE = 512
+
+# What is left of a text without its visible ASCII, spaces, tabs and line feeds must be two-byte characters.
+_USUAL = bytes([9, 10, *range(0x20, 0x7F)])
+_RARE = re.compile(rb"[\x00-\x7f\xd5-\xff]|\xc2[\x80-\xa0]")
+WORDS_AT_ONCE = 2000
+MARKS = ".,;:!?"
+
 
-# A space before white space or the end, white space other than space, tab and line feed, rarer scripts.
-_IN_DOUBT = re.compile(r" (?=\s|\Z)|[^\S \n\t]|[\x1c-\x1f]|[^\x00-ԯ‐-‧]")
+def _in_doubt(text: str) -> bool:
+    """Whether a space may not open a pre-token, or the libraries' character classes may differ."""
+    if text[-1] == " " or "  " in text or " \n" in text or " \t" in text:
+        return True
+    rest = text.encode("utf-8", "surrogatepass").translate(None, _USUAL)
+    return _RARE.search(rest) is not None
 
 
 def default_vocabulary() -> str:
@@ -32,8 +45,6 @@ class Encoder:
     """Texts -> ids as little-endian 32-bit bytes. Special-token strings in a text are ordinary text."""
 
     def __init__(self, vocabulary: str):
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(vocabulary)
@@ -41,48 +52,54 @@ class Encoder:
         words = self.model.get_vocab()
         self.opens = np.zeros(max(words.values()) + 1, bool)  # ids of tokens that start with a space
         self.opens[[i for w, i in words.items() if w.startswith("Ġ")]] = True
-        self.cut = regex.compile(public_tokenizers.PATTERN).findall
-        self.plain = regex.compile(r" \p{L}+").fullmatch
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.marks = {m: self.whole(m) for m in MARKS}
+        self.chunks: dict[str, bytes] = {}  # ids of a space and the chunk
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > MEMO_ENTRIES:
-            self.chunks = {"": b""}
-        if len(self.pieces) > MEMO_ENTRIES:
-            self.pieces = {}
-        cuts = {c: self.cut(c) for c in chunks}
-        missing = set().union(*cuts.values()).difference(self.pieces)
-        # Words after a space, joined, are cut at the same places again: one call encodes them all.
-        plain = [p for p in missing if self.plain(p)]
-        if plain:
-            ids = np.array(self.model.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            raw, at = ids.tobytes(), [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
-            if len(at) != len(plain) + 1:
+    def _learn(self, missing: set[str]) -> None:
+        # A mark after letters is a pre-token of its own, so "word," is "word" and the mark.
+        marked = {c for c in missing if c[-1:] in self.marks and c[:-1].isalpha()}
+        new = list((missing - marked) | {c[:-1] for c in marked}.difference(self.chunks))
+        # Joined, the chunks are cut at the same places again, before each space.
+        some = [new[k : k + WORDS_AT_ONCE] for k in range(0, len(new), WORDS_AT_ONCE)]
+        for part, encoded in zip(some, self.model.encode_batch_fast(["".join([" " + c for c in part]) for part in some], add_special_tokens=False)):
+            ids = np.array(encoded.ids, "<u4")
+            raw, at = ids.tobytes(), (4 * np.flatnonzero(self.opens[ids])).tolist()
+            if len(at) != len(part):
                 raise ValueError("the vocabulary splits a word off its leading space")
-            self.pieces.update((p, raw[a:b]) for p, a, b in zip(plain, at, at[1:]))
-        odd = list(missing.difference(plain))
-        for p, e in zip(odd, self.model.encode_batch_fast(odd, add_special_tokens=False)):
-            self.pieces[p] = np.array(e.ids, "<u4").tobytes()
-        for c, parts in cuts.items():
-            self.chunks[c] = b"".join([self.pieces[p] for p in parts])
+            self.chunks.update(zip(part, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
+        for c in marked:
+            self.chunks[c] = self.chunks[c[:-1]] + self.marks[c[-1]]
 
     def some(self, texts: list[str | None]) -> list[bytes]:
         out: list = [b""] * len(texts)
-        cut = {}
+        if len(self.chunks) > MEMO_ENTRIES:
+            self.chunks = {}
+        get = self.chunks.get
+        heads, plain, gaps, missing = [], [], [], set()
         for i, text in enumerate(texts):
-            if text and _IN_DOUBT.search(text):
+            if not text:
+                continue
+            if _in_doubt(text):
                 out[i] = self.whole(text)
-            elif text:
-                first, *rest = text.split(" ")
-                cut[i] = [first, *[" " + s for s in rest]]
-        if missing := set().union(*cut.values()).difference(self.chunks):
+                continue
+            head, *parts = text.split(" ")
+            ids = list(map(get, parts))
+            if None in ids:
+                unknown = [k for k, v in enumerate(ids) if v is None]
+                missing.update([parts[k] for k in unknown])
+                gaps.append((ids, parts, unknown))
+            heads.append(head)
+            plain.append((i, ids))
+        if missing:
             self._learn(missing)
-        for i, chunks in cut.items():
-            out[i] = b"".join([self.chunks[c] for c in chunks])
+        for ids, parts, unknown in gaps:
+            for k in unknown:
+                ids[k] = get(parts[k])
+        for (i, ids), head in zip(plain, self.model.encode_batch_fast(heads, add_special_tokens=False)):
+            out[i] = np.array(head.ids, "<u4").tobytes() + b"".join(ids)
         return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
