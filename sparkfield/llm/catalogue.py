@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+from . import decontaminate, url_filter
+from .decontaminate import op10_benchmark_windows
 from .packing import op8_pattern_packing
+from .pseudonyms import op4_feistel_pseudonyms
 from .quality import op7_quality_votes
 from .token_output import op3_token_volumes
+from .url_filter import op2_url_rules
 
-QUERIES = {"op3_token_volumes": op3_token_volumes, "op7_quality_votes": op7_quality_votes, "op8_pattern_packing": op8_pattern_packing}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op2_url_rules": op2_url_rules,
+    "op3_token_volumes": op3_token_volumes,
+    "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
+    "op7_quality_votes": op7_quality_votes,
+    "op8_pattern_packing": op8_pattern_packing,
+    "op10_benchmark_windows": op10_benchmark_windows,
+}
+ORACLES = {
+    "op2_url_rules": url_filter.ORACLE,
+    "op10_benchmark_windows": decontaminate.ORACLE,
+}
