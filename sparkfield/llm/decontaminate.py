@@ -146,11 +146,11 @@ WITH d AS (
 ), wins AS (
   SELECT DISTINCT item_id, list_slice(w, k, k + {WINDOW} - 1) AS win
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {WINDOW} + 1, 1) + 1)) AS k FROM b WHERE len(w) > 0)
-), at AS (
+), places AS (
   SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d
 ), hits AS (
   SELECT r, item_id, p, len(win) AS n
-  FROM at JOIN wins ON w[p] = win[1] AND list_slice(w, p, p + len(win) - 1) = win
+  FROM places JOIN wins ON w[p] = win[1] AND list_slice(w, p, p + len(win) - 1) = win
 ), words AS (
   SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hits) GROUP BY r
 ), names AS (
