@@ -45,31 +45,48 @@ class Encoder:
     """Texts -> ids as little-endian 32-bit bytes. Special-token strings in a text are ordinary text."""
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(vocabulary)
         self.model.encode_special_tokens = True
-        words = self.model.get_vocab()
-        self.opens = np.zeros(max(words.values()) + 1, bool)  # ids of tokens that start with a space
-        self.opens[[i for w, i in words.items() if w.startswith("Ġ")]] = True
+        # The same model for texts of words only, given in the model's own alphabet of visible bytes.
+        self.words = Tokenizer.from_file(vocabulary)
+        self.words.pre_tokenizer = pre_tokenizers.Split("Ġ", "merged_with_next")
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        self.alphabet = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        ids = self.model.get_vocab()
+        self.opens = np.zeros(max(ids.values()) + 1, bool)  # ids of tokens that start with a space
+        self.opens[[i for w, i in ids.items() if w.startswith("Ġ")]] = True
         self.marks = {m: self.whole(m) for m in MARKS}
         self.chunks: dict[str, bytes] = {}  # ids of a space and the chunk
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _add(self, chunks: list[str], joined: str, model) -> None:
+        """Joined, chunks are cut at the same places again, before each space."""
+        ids = np.array(model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        raw, at = ids.tobytes(), (4 * np.flatnonzero(self.opens[ids])).tolist()
+        if len(at) != len(chunks):
+            raise ValueError("the vocabulary splits a word off its leading space")
+        self.chunks.update(zip(chunks, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
+
     def _learn(self, missing: set[str]) -> None:
-        # A mark after letters is a pre-token of its own, so "word," is "word" and the mark.
-        marked = {c for c in missing if c[-1:] in self.marks and c[:-1].isalpha()}
-        new = list((missing - marked) | {c[:-1] for c in marked}.difference(self.chunks))
-        # Joined, the chunks are cut at the same places again, before each space.
-        some = [new[k : k + WORDS_AT_ONCE] for k in range(0, len(new), WORDS_AT_ONCE)]
-        for part, encoded in zip(some, self.model.encode_batch_fast(["".join([" " + c for c in part]) for part in some], add_special_tokens=False)):
-            ids = np.array(encoded.ids, "<u4")
-            raw, at = ids.tobytes(), (4 * np.flatnonzero(self.opens[ids])).tolist()
-            if len(at) != len(part):
-                raise ValueError("the vocabulary splits a word off its leading space")
-            self.chunks.update(zip(part, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
+        words, marked, other = {c for c in missing if c.isalpha()}, [], []
+        for c in missing - words:
+            # A mark after letters is a pre-token of its own, so "word," is "word" and the mark.
+            if c[-1:] in self.marks and c[:-1].isalpha():
+                marked.append(c)
+            else:
+                other.append(c)
+        words.update({c[:-1] for c in marked}.difference(self.chunks))
+        for k in range(0, len(some := list(words)), WORDS_AT_ONCE):
+            part = some[k : k + WORDS_AT_ONCE]
+            self._add(part, (" " + " ".join(part)).encode().decode("latin-1").translate(self.alphabet), self.words)
+        for k in range(0, len(other), WORDS_AT_ONCE):
+            part = other[k : k + WORDS_AT_ONCE]
+            self._add(part, " " + " ".join(part), self.model)
         for c in marked:
             self.chunks[c] = self.chunks[c[:-1]] + self.marks[c[-1]]
 
