@@ -1,8 +1,62 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All
+but the last return the columns of ``documents``. SQL cannot express the first stage's
+estimation, so ``ORACLE_SQL`` is None and the tests hold the run against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkfield.llm import common, decontaminate, jaccard, packing, pseudonyms, quality
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose rules' votes, weighed by estimated accuracies, speak for them."""
+    return quality.keep_good(docs)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates: five words, similarity 0.8 or more."""
+    return jaccard.keep_one(docs, n=5, percent=80)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth are benchmark windows."""
+    return decontaminate.keep_clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with pseudonyms for personal numbers, dates and addresses."""
+    out = pseudonyms.with_pseudonyms(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces and their places in sequences of 1024."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("personal data", personal_data),
+    ("best-fit packing", best_fit_packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each returns is written and read again by the next."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        new = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        common.release(docs)
+        docs = new
+    return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,9 +34,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     The files survive the loss of any executor; :func:`clean_up` removes all of an application's.
     """
-    path = new_path(df.sparkSession, name)
+    spark, path, schema = df.sparkSession, new_path(df.sparkSession, name), df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    _free_shuffles(spark)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def _free_shuffles(spark: SparkSession) -> None:
+    """Spark drops the shuffle files of plans that nobody holds any more once both sides have collected their garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def release(table: DataFrame) -> None:
+    """Remove a :func:`written` table that nothing reads any more."""
+    if path := getattr(table, "_written_to", None):
+        spark = table.sparkSession
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def clean_up(spark: SparkSession) -> None:
