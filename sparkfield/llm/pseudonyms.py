@@ -28,6 +28,8 @@ byte; repeated rows get the same text; other columns stay.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,11 @@ def _full(pattern: str) -> str:
     return f"^(?:{pattern})$"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _hash(key: str, *parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), *[F.lit(p) if isinstance(p, str) else p for p in parts]), 512)
 
@@ -83,11 +90,14 @@ def permute_text(text: Column, key: str, kind: str, lead: int = 0) -> Column:
         other = F.filter(state, lambda s, i: (i < half) != left)
         digest = _hash(key, kind, r.cast("string"), F.array_join(F.transform(other, lambda s: s["v"].cast("string")), ","))
 
-        def move(s: Column, i: Column) -> Column:
-            moved = ((s["v"] + _number(digest, 4 * (i % 32))) % s["n"]).cast("int")
-            return F.struct(F.when((i < half) == left, moved).otherwise(s["v"]).alias("v"), s["b"].alias("b"), s["n"].alias("n"))
+        def moved(d: Column) -> Column:
+            def move(s: Column, i: Column) -> Column:
+                new = ((s["v"] + _number(d, 4 * (i % 32))) % s["n"]).cast("int")
+                return F.struct(F.when((i < half) == left, new).otherwise(s["v"]).alias("v"), s["b"].alias("b"), s["n"].alias("n"))
+
+            return F.transform(state, move)
 
-        return F.transform(state, move)
+        return _let(digest, moved)
 
     out = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), _symbols(text, lead), turn)
     return F.array_join(F.transform(out, lambda s: F.char(s["v"] + s["b"])), "")
@@ -115,11 +125,14 @@ def _digits(text: Column) -> Column:
 def _put_back(text: Column, digits: Column) -> Column:
     """``text`` with its digits replaced, in order."""
 
-    def each(i: Column) -> Column:
-        c = F.substring(text, i, F.lit(1))
-        return F.when(c.between("0", "9"), F.substring(digits, F.length(_digits(F.substring(text, F.lit(1), i))), F.lit(1))).otherwise(c)
+    def filled(new: Column) -> Column:
+        def each(i: Column) -> Column:
+            c = F.substring(text, i, F.lit(1))
+            return F.when(c.between("0", "9"), F.substring(new, F.length(_digits(F.substring(text, F.lit(1), i))), F.lit(1))).otherwise(c)
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), each), "")
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), each), "")
+    return _let(digits, filled)
 
 
 def luhn_sum(digits: Column, weight_first: bool = False) -> Column:
@@ -135,25 +148,31 @@ def luhn_sum(digits: Column, weight_first: bool = False) -> Column:
 
 def _email(text: Column, key: str) -> Column:
     at = F.instr(text, "@")
-    return F.concat(permute_text(F.substring(text, F.lit(1), at - 1), key, "email"), F.substring(text, at, F.length(text)))
+    # Symbols are looked at one by one, so the local part is cut off once.
+    return F.concat(_let(F.substring(text, F.lit(1), at - 1), lambda v: permute_text(v, key, "email")), F.substring(text, at, F.length(text)))
 
 
 def _card(text: Column, key: str) -> Column:
-    d = _digits(text)
-    body = permute_text(F.substring(d, F.lit(1), F.length(d) - 1), key, "card", lead=1)
-    # The check digit completes the sum, in which the body's last digit is doubled.
-    check = (10 - luhn_sum(body, weight_first=True) % 10) % 10
-    return F.when(luhn_sum(d) % 10 == 0, _put_back(text, F.concat(body, check.cast("string"))))
+    def made(d: Column) -> Column:
+        body = permute_text(F.substring(d, F.lit(1), F.length(d) - 1), key, "card", lead=1)
+        # The check digit completes the sum, in which the body's last digit is doubled.
+        whole = _let(body, lambda b: F.concat(b, ((10 - luhn_sum(b, weight_first=True) % 10) % 10).cast("string")))
+        return F.when(luhn_sum(d) % 10 == 0, _put_back(text, whole))
+
+    return _let(_digits(text), made)
 
 
 def _phone(text: Column, key: str) -> Column:
     prefix = F.regexp_extract(text, r"^(\+\d{1,3}[ .-]?)?", 0)
     rest = F.substring(text, F.length(prefix) + 1, F.length(text))
-    d = _digits(rest)
-    # Only numbers with 2-9 in front are valid: its value moves within those eight.
-    first = (F.substring(d, 1, 1).cast("int") - 2 + _number(_hash(key, "phone first", F.substring(d, 2, 9)))) % 8 + 2
-    new = F.concat(first.cast("string"), permute_text(F.substring(d, 2, 9), key, "phone"))
-    return F.when(F.substring(d, 1, 1) >= "2", F.concat(prefix, _put_back(rest, new)))
+
+    def made(d: Column) -> Column:
+        # Only numbers with 2-9 in front are valid: that digit moves within those eight.
+        first = (F.substring(d, 1, 1).cast("int") - 2 + _number(_hash(key, "phone first", F.substring(d, 2, 9)))) % 8 + 2
+        new = F.concat(first.cast("string"), _let(F.substring(d, 2, 9), lambda v: permute_text(v, key, "phone")))
+        return F.when(F.substring(d, 1, 1) >= "2", F.concat(prefix, _let(rest, lambda v: _put_back(v, new))))
+
+    return _let(_digits(rest), made)
 
 
 def _ssn_valid(text: Column) -> Column:
@@ -164,8 +183,8 @@ def _ssn(text: Column, key: str) -> Column:
     step = F.struct(text.alias("at"), text.alias("last"), F.lit(False).alias("done"))
 
     def walk(s: Column, r: Column) -> Column:
-        new = _put_back(s["at"], permute_text(_digits(s["at"]), key, "ssn"))
-        return F.when(s["done"], s).otherwise(F.struct(new.alias("at"), new.alias("last"), _ssn_valid(new).alias("done")))
+        new = _put_back(s["at"], _let(_digits(s["at"]), lambda v: permute_text(v, key, "ssn")))
+        return F.when(s["done"], s).otherwise(_let(new, lambda v: F.struct(v.alias("at"), v.alias("last"), _ssn_valid(v).alias("done"))))
 
     return F.when(_ssn_valid(text), F.aggregate(F.sequence(F.lit(1), F.lit(4)), step, walk, lambda s: s["last"]))
 
@@ -174,8 +193,11 @@ def _ip(text: Column, key: str) -> Column:
     parts = F.transform(F.split(text, r"\."), lambda p: p.cast("bigint"))
     value = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, p: a * 256 + p)
     new = permute_number(value, (1 << 16, 1 << 16), key, "ip")
-    octets = [(F.floor(new / (1 << s)) % 256).cast("bigint").cast("string") for s in (24, 16, 8, 0)]
-    return F.when(~F.exists(parts, lambda p: p > 255), F.concat_ws(".", *octets))
+
+    def octets(v: Column) -> Column:
+        return F.concat_ws(".", *[(F.floor(v / (1 << s)) % 256).cast("bigint").cast("string") for s in (24, 16, 8, 0)])
+
+    return F.when(~F.exists(parts, lambda p: p > 255), _let(new, octets))
 
 
 def _date(text: Column, key: str) -> Column:
@@ -183,13 +205,20 @@ def _date(text: Column, key: str) -> Column:
     at = [F.when(iso, a).when(dots, b).otherwise(c) for a, b, c in ((1, 7, 7), (6, 4, 1), (9, 1, 4))]
     y, m, d = [F.substring(text, p, F.lit(n)) for p, n in zip(at, (4, 2, 2))]
     day = F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("yyyy-MM-dd")).cast("date")
-    number = F.datediff(day, F.lit("2000-01-01").cast("date")).cast("bigint")
-    cycle = F.floor(number / CYCLE_DAYS).cast("bigint")
-    moved = cycle * CYCLE_DAYS + permute_number(number - cycle * CYCLE_DAYS, CYCLE, key, "date")
-    new = F.date_add(F.lit("2000-01-01").cast("date"), moved.cast("int"))
-    y, m, d = F.lpad(F.year(new).cast("string"), 4, "0"), F.lpad(F.month(new).cast("string"), 2, "0"), F.lpad(F.dayofmonth(new).cast("string"), 2, "0")
-    out = F.when(iso, F.concat_ws("-", y, m, d)).when(dots, F.concat_ws(".", d, m, y)).otherwise(F.concat_ws("/", m, d, y))
-    return F.when(day.isNotNull() & number.between(-2 * CYCLE_DAYS + 1, 2 * CYCLE_DAYS), out)
+    zero = F.lit("2000-01-01").cast("date")
+
+    def moved(number: Column) -> Column:
+        cycle = F.floor(number / CYCLE_DAYS).cast("bigint")
+        return F.date_add(zero, (cycle * CYCLE_DAYS + permute_number(number - cycle * CYCLE_DAYS, CYCLE, key, "date")).cast("int"))
+
+    def written(new: Column) -> Column:
+        y, m, d = [F.lpad(part(new).cast("string"), n, "0") for part, n in ((F.year, 4), (F.month, 2), (F.dayofmonth, 2))]
+        return F.when(iso, F.concat_ws("-", y, m, d)).when(dots, F.concat_ws(".", d, m, y)).otherwise(F.concat_ws("/", m, d, y))
+
+    def made(number: Column) -> Column:
+        return F.when(number.between(-2 * CYCLE_DAYS + 1, 2 * CYCLE_DAYS), _let(moved(number), written))
+
+    return _let(F.datediff(day, zero).cast("bigint"), made)
 
 
 KINDS = ((EMAIL, _email), (DATE, _date), (IP, _ip), (PHONE, _phone), (SSN, _ssn), (CARD, _card))
