@@ -1,10 +1,444 @@
-"""Registered queries of the field engine and their SQL counterparts."""
+"""Registered queries of the field engine and the SQL with the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import Config
+from ..functions import expr, registry
+from ..operators import blocks as B
+from ..operators import codec
+from ..operators.header import header_bytes
+from ..operators.kernels import order_of
+from ..schema import Shape, metadata_word, scalar
+from ..sources import fields as S
+
+TOLERANCE = 2.0**-8
+MODES = {
+    "rate_8": Config.fixed_rate(8, "f64", 1),
+    "precision_16": Config.fixed_precision(16),
+    "accuracy_2^-8": Config.fixed_accuracy(TOLERANCE),
+    "reversible": Config.reversible(),
+}
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+# ---- SQL parts
+
+
+def _pad(values: list[str]) -> list[str]:
+    x, y, z, w = values
+    return [x, f"coalesce({y}, {x})", f"coalesce({z}, {y}, {x})", f"coalesce({w}, {x})"]
+
+
+def _tiled(table: str, index: str, value: str) -> str:
+    raw = ", ".join(f"max(CASE WHEN {index} % 4 = {k} THEN {value} END) AS r{k}" for k in range(4))
+    padded = ", ".join(f"{v} AS v{k}" for k, v in enumerate(_pad([f"r{k}" for k in range(4)])))
+    return f"SELECT block, {padded} FROM (SELECT ({index} // 4)::BIGINT AS block, {raw} FROM {table} GROUP BY 1)"
+
+
+def _sql_exponent(top: str, bias: int) -> str:
+    f = f"floor(log2({top}))"
+    return f"CASE WHEN {top} = 0 THEN -{bias} ELSE greatest((CASE WHEN pow(2.0::DOUBLE, {f}) > {top} THEN {f} - 1 WHEN pow(2.0::DOUBLE, {f} + 1) <= {top} THEN {f} + 1 ELSE {f} END) + 1, 1 - {bias})::INT END"
+
+
+TILED = _tiled("orders", "o_orderkey", "o_totalprice")
+EMAX = f"SELECT block, v0, v1, v2, v3, {_sql_exponent('greatest(abs(v0), abs(v1), abs(v2), abs(v3))', 1023)} AS emax FROM ({TILED})"
+QUANT = "SELECT block, emax, " + ", ".join(f"trunc(v{k} * pow(2.0::DOUBLE, 62 - emax))::BIGINT AS i{k}" for k in range(4)) + f" FROM ({EMAX})"
+
+
+def _sql_steps(source: str, keep: str, steps: list[tuple[str, str]], names: list[str]) -> str:
+    """Assignments one after the other, each over the last one's columns."""
+    cols = "xyzw"
+    sql = f"SELECT {keep}, {', '.join(f'{n} AS {c}' for n, c in zip(names, cols))} FROM ({source})"
+    for target, value in steps:
+        sql = f"SELECT {keep}, {', '.join(f'{value} AS {c}' if c == target else c for c in cols)} FROM ({sql})"
+    return sql
+
+
+_LIFT = [("x", "(x + w) >> 1"), ("w", "w - x"), ("z", "(z + y) >> 1"), ("y", "y - z"), ("x", "(x + z) >> 1"), ("z", "z - x"), ("w", "(w + y) >> 1"), ("y", "y - w"), ("w", "w + (y >> 1)"), ("y", "y - (w >> 1)")]
+_UNLIFT = [("y", "y + (w >> 1)"), ("w", "w - (y >> 1)"), ("y", "y + w"), ("w", "w * 2 - y"), ("z", "z + x"), ("x", "x * 2 - z"), ("y", "y + z"), ("z", "z * 2 - y"), ("w", "w + x"), ("x", "x * 2 - w")]
+_INTS = [f"i{k}" for k in range(4)]
+LIFTED = _sql_steps(QUANT, "block, emax", _LIFT, _INTS)
+_NB = "12297829382473034410"
+
+
+def _sql_negabinary(v: str) -> str:
+    return f"xor((({v}::HUGEINT + {_NB} + 18446744073709551616) % 18446744073709551616)::UBIGINT, {_NB}::UBIGINT)"
+
+
+COEFFS = "SELECT block, emax, " + ", ".join(f"{_sql_negabinary(c)} AS u{k}" for k, c in enumerate("xyzw")) + f" FROM ({LIFTED})"
+
+
+def _sql_bits(prec: str) -> str:
+    """Bits of each block's planes, by the closed form."""
+    n = "CASE WHEN ((u3 >> k) >> 1) <> 0 THEN 4 WHEN ((u2 >> k) >> 1) <> 0 THEN 3 WHEN ((u1 >> k) >> 1) <> 0 THEN 2 WHEN ((u0 >> k) >> 1) <> 0 THEN 1 ELSE 0 END"
+    b = ", ".join(f"CASE WHEN n <= {i} THEN ((u{i} >> k) & 1)::INT ELSE 0 END AS b{i}" for i in range(4))
+    last = "CASE WHEN b3 = 1 THEN 3 WHEN b2 = 1 THEN 2 WHEN b1 = 1 THEN 1 WHEN b0 = 1 THEN 0 ELSE -1 END"
+    length = f"CASE WHEN n = 4 THEN 4 WHEN b0 + b1 + b2 + b3 = 0 THEN n + 1 ELSE {last} + 1 + b0 + b1 + b2 + b3 + CASE WHEN b3 = 1 THEN -1 ELSE 1 END END"
+    planes = f"SELECT block, emax, prec, u0, u1, u2, u3, unnest(range(64 - prec, 64))::UBIGINT AS k FROM (SELECT *, {prec} AS prec FROM ({COEFFS})) WHERE prec > 0"
+    return f"SELECT block, sum({length})::BIGINT AS bits FROM (SELECT block, n, {b} FROM (SELECT *, {n} AS n FROM ({planes}))) GROUP BY block"
+
+
+def _sql_block_bits(cfg: Config) -> str:
+    prec = f"least(greatest(emax - ({cfg.min_exp}) + 4, 0), {cfg.max_prec})"
+    return f"SELECT e.block, greatest(CASE WHEN bits IS NULL OR emax = -1023 THEN 1 ELSE 12 + least(bits, greatest({cfg.max_bits} - 12, 0)) END, {cfg.min_bits})::BIGINT AS nbits FROM ({EMAX}) e LEFT JOIN ({_sql_bits(prec)}) b USING (block)"
+
+
+# ---- Catalyst steps over the 1-D price field
+
+
+def _tiles(spark: SparkSession, d: str) -> DataFrame:
+    """block, v0..v3 of orders.o_totalprice by o_orderkey."""
+    k, v = F.col("o_orderkey"), F.col("o_totalprice")
+    raw = [F.max(F.when(k % 4 == i, v)).alias(f"r{i}") for i in range(4)]
+    rows = S.table(spark, d, "orders").groupBy(F.floor(k / 4).cast("bigint").alias("block")).agg(*raw)
+    return rows.select("block", *[c.alias(f"v{i}") for i, c in enumerate(expr.pad_line([F.col(f"r{i}") for i in range(4)]))])
+
+
+def _values(letter: str, n: int = 4) -> list[Column]:
+    return [F.col(f"{letter}{k}") for k in range(n)]
+
+
+def _with_exponent(spark, d) -> DataFrame:
+    return _tiles(spark, d).withColumn("emax", expr.exponent(expr.magnitude(_values("v")), "f64"))
+
+
+def _quantised(spark, d) -> DataFrame:
+    return _with_exponent(spark, d).select("block", "emax", *[expr.quantise(v, F.col("emax"), "f64").alias(f"i{k}") for k, v in enumerate(_values("v"))])
+
+
+def _lifted(spark, d) -> DataFrame:
+    return _quantised(spark, d).select("block", "emax", *[c.alias(n) for c, n in zip(expr.lift(_values("i")), "xyzw")])
+
+
+def _coefficients(spark, d) -> DataFrame:
+    u = [expr.negabinary(F.col(c)).alias(f"u{k}") for k, c in enumerate("xyzw")]
+    return _lifted(spark, d).select("block", "emax", *u)
+
+
+def _block_bits(spark, d, cfg: Config) -> DataFrame:
+    prec = expr.precision(F.col("emax"), cfg.min_exp, cfg.max_prec, 1)
+    rows = _coefficients(spark, d).withColumn("prec", prec)
+    bits = F.least(expr.planes_bits(_values("u"), F.col("prec"), 64), F.lit(max(cfg.max_bits - 12, 0)))
+    some = (F.col("prec") > 0) & (F.col("emax") != -1023)
+    return rows.select("block", F.greatest(F.when(some, bits + 12).otherwise(1), F.lit(cfg.min_bits)).cast("bigint").alias("nbits"))
+
+
+@query("grid_1d", "SELECT (o_orderkey // 4)::BIGINT AS block, (o_orderkey // 4)::BIGINT AS bx, least(count(*), 4)::INT AS nx FROM orders GROUP BY 1, 2")
+def grid_1d(spark, d):
+    return B.grid(spark, (S.table(spark, d, "orders").count(),)).select("block", "bx", "nx")
+
+
+@query("tile_1d_f64", TILED)
+def tile_1d(spark, d):
+    return _tiles(spark, d)
+
+
+_EMB = "SELECT vec_id, unnest(embedding) AS value, unnest(range(0, len(embedding))) AS x FROM embeddings"
+
+
+@query(
+    "tile_2d_f32",
+    f"""WITH e AS ({_EMB}), n AS (SELECT count(*) AS ny FROM embeddings),
+    p AS (SELECT c, r, i, j, 4 * r + CASE WHEN j < least(ny - 4 * r, 4) THEN j WHEN j = 3 THEN 0 ELSE least(ny - 4 * r, 4) - 1 END AS y
+          FROM n, (SELECT unnest(range(0, 16)) AS c), (SELECT unnest(range(0, (ny + 3) // 4)) AS r FROM n), (SELECT unnest(range(0, 4)) AS i), (SELECT unnest(range(0, 4)) AS j))
+    SELECT (c + 16 * r)::BIGINT AS block, (i + 4 * j)::INT AS place, value FROM p JOIN e ON e.x = 4 * c + i AND e.vec_id = p.y""",
+)
+def tile_2d(spark, d):
+    ny = S.table(spark, d, "embeddings").count()
+    return B.tile(S.embedding_elements(spark, d), (64, ny), by=[]).select("block", F.posexplode("vals").alias("place", "value"))
+
+
+@query("untile_2d_f32", f"SELECT x::BIGINT AS x, vec_id::BIGINT AS y, value FROM ({_EMB})")
+def untile_2d(spark, d):
+    ny = S.table(spark, d, "embeddings").count()
+    return B.untile(B.tile(S.embedding_elements(spark, d), (64, ny), by=[]), (64, ny), by=[])
+
+
+_CUBE = "SELECT hour(ts)::BIGINT AS x, (day(ts) - 1)::BIGINT AS y, (user_id % 6)::BIGINT AS z, count(*)::INT AS value FROM events GROUP BY 1, 2, 3"
+
+
+@query("untile_3d_i32", f"SELECT x, y, z, coalesce(value, 0)::INT AS value FROM (SELECT * FROM (SELECT unnest(range(0, 24)) AS x), (SELECT unnest(range(0, 31)) AS y), (SELECT unnest(range(0, 6)) AS z)) LEFT JOIN ({_CUBE}) USING (x, y, z)")
+def untile_3d(spark, d):
+    dims = (24, 31, 6)
+    return B.untile(B.tile(S.event_cube(spark, d), dims, by=[]), dims, by=[])
+
+
+@query("strided_index", "SELECT x::BIGINT AS x, vec_id::BIGINT AS y, ((63 - x) * (SELECT count(*) FROM embeddings) + vec_id)::BIGINT AS index FROM (" + _EMB + ")")
+def strided_index(spark, d):
+    ny = S.table(spark, d, "embeddings").count()
+    shape = Shape.of((64, ny), (-ny, 1))
+    return B.strided(S.embedding_elements(spark, d), shape).select("x", "y", "index")
+
+
+@query("block_exponent_f64", f"SELECT block, emax FROM ({EMAX})")
+def block_exponent_f64(spark, d):
+    return _with_exponent(spark, d).select("block", "emax")
+
+
+@query("row_exponent_f32", f"SELECT vec_id, {_sql_exponent('top', 127)} AS emax FROM (SELECT vec_id, list_max(list_transform(embedding, lambda v: abs(v)::DOUBLE)) AS top FROM embeddings)")
+def row_exponent_f32(spark, d):
+    top = F.array_max(F.transform("embedding", lambda v: F.when(F.isnan(v), 0.0).otherwise(F.abs(v.cast("double")))))
+    return S.table(spark, d, "embeddings").select("vec_id", expr.exponent(top, "f32").alias("emax"))
+
+
+@query("block_precision_accuracy", f"SELECT block, least(greatest(emax + 8 + 4, 0), 64)::INT AS prec FROM ({EMAX})")
+def block_precision_accuracy(spark, d):
+    return _with_exponent(spark, d).select("block", expr.precision(F.col("emax"), MODES["accuracy_2^-8"].min_exp, 64, 1).cast("int").alias("prec"))
+
+
+@query("quantise_f64", QUANT)
+def quantise_f64(spark, d):
+    return _quantised(spark, d)
+
+
+@query("dequantise_f64", "SELECT block, " + ", ".join(f"i{k}::DOUBLE * pow(2.0::DOUBLE, emax - 62) AS v{k}" for k in range(4)) + f" FROM ({QUANT})")
+def dequantise_f64(spark, d):
+    return _quantised(spark, d).select("block", *[expr.dequantise(F.col(f"i{k}"), F.col("emax"), "f64").alias(f"v{k}") for k in range(4)])
+
+
+@query("lift_forward", LIFTED)
+def lift_forward(spark, d):
+    return _lifted(spark, d)
+
+
+@query("lift_inverse", _sql_steps(LIFTED, "block", _UNLIFT, list("xyzw")))
+def lift_inverse(spark, d):
+    back = expr.unlift([F.col(c) for c in "xyzw"])
+    return _lifted(spark, d).select("block", *[c.alias(n) for c, n in zip(back, "xyzw")])
+
+
+_KEYS = _tiled("orders", "o_orderkey", "o_custkey::BIGINT")
+_DIFFERENCES = "v0 AS x, v1 - v0 AS y, v2 - 2 * v1 + v0 AS z, v3 - 3 * v2 + 3 * v1 - v0 AS w"
+
+
+def _key_tiles(spark, d):
+    k, v = F.col("o_orderkey"), F.col("o_custkey").cast("bigint")
+    raw = [F.max(F.when(k % 4 == i, v)).alias(f"r{i}") for i in range(4)]
+    rows = S.table(spark, d, "orders").groupBy(F.floor(k / 4).cast("bigint").alias("block")).agg(*raw)
+    return rows.select("block", *[c.alias(f"v{i}") for i, c in enumerate(expr.pad_line([F.col(f"r{i}") for i in range(4)]))])
+
+
+@query("differences_i64", f"SELECT block, {_DIFFERENCES} FROM ({_KEYS})")
+def differences_i64(spark, d):
+    return _key_tiles(spark, d).select("block", *[c.alias(n) for c, n in zip(expr.differences(_values("v")), "xyzw")])
+
+
+@query("differences_undone", _KEYS)
+def differences_undone(spark, d):
+    back = expr.sums([F.col(c) for c in "xyzw"])
+    return differences_i64(spark, d).select("block", *[c.alias(f"v{k}") for k, c in enumerate(back)])
+
+
+@query("negabinary", "SELECT block, " + ", ".join(f"CASE WHEN u{k} >= 9223372036854775808 THEN (u{k}::HUGEINT - 18446744073709551616)::BIGINT ELSE u{k}::BIGINT END AS u{k}" for k in range(4)) + f" FROM ({COEFFS})")
+def negabinary(spark, d):
+    return _coefficients(spark, d).drop("emax")
+
+
+@query("negabinary_undone", f"SELECT block, x, y, z, w FROM ({LIFTED})")
+def negabinary_undone(spark, d):
+    return _coefficients(spark, d).select("block", *[expr.from_negabinary(F.col(f"u{k}")).alias(n) for k, n in enumerate("xyzw")])
+
+
+@query("coefficient_order", " UNION ALL ".join(f"SELECT {r} AS rank, {k} AS k, {p} AS place" for r in (1, 2) for k, p in enumerate(order_of(r).tolist())))
+def coefficient_order(spark, d):
+    rows = [(r, k, p) for r in (1, 2) for k, p in enumerate(order_of(r).tolist())]
+    return spark.createDataFrame(rows, "rank int, k int, place int")
+
+
+for _name, _cfg in MODES.items():
+    if not _cfg.is_reversible:
+        _safe = {"rate_8": "rate", "precision_16": "precision", "accuracy_2^-8": "accuracy"}[_name]
+        QUERIES[f"block_bits_{_safe}_1d"] = lambda spark, d, cfg=_cfg: _block_bits(spark, d, cfg)
+        ORACLES[f"block_bits_{_safe}_1d"] = _sql_block_bits(_cfg)
+
+
+@query("lowest_planes_i64", f"SELECT block, CASE WHEN v0 | v1 | v2 | v3 = 0 THEN 0 ELSE 64 - bit_count((v0 | v1 | v2 | v3) - 1 - ((v0 | v1 | v2 | v3) & ((v0 | v1 | v2 | v3) - 1))) END::INT AS planes FROM ({_KEYS})")
+def lowest_planes(spark, d):
+    """Planes down to the lowest one-bit of a block of not negative integers."""
+    any_bit = F.col("v0").bitwiseOR(F.col("v1")).bitwiseOR(F.col("v2")).bitwiseOR(F.col("v3"))
+    low = F.bit_count((any_bit - 1).bitwiseAND(F.bitwise_not(any_bit)))
+    return _key_tiles(spark, d).select("block", F.when(any_bit == 0, 0).otherwise(64 - low).cast("int").alias("planes"))
+
+
+def _price_chunks(spark, d, cfg, chunk_blocks=512):
+    orders = S.table(spark, d, "orders")
+    elements = orders.select(F.col("o_orderkey").alias("x"), F.col("o_totalprice").alias("value"))
+    dims = (orders.count(),)
+    return codec.encode(B.tile(elements, dims, by=[]), "f64", dims, cfg, by=[], chunk_blocks=chunk_blocks), dims
+
+
+_SIZES = " UNION ALL ".join(
+    f"SELECT '{name}' AS mode, sum(nbits)::BIGINT AS nbits, (ceil(sum(nbits) / 64.0) * 8)::BIGINT AS bytes FROM ({_sql_block_bits(cfg)})" for name, cfg in MODES.items() if not cfg.is_reversible
+)
+
+
+@query("field_size_by_mode", _SIZES)
+def field_size_by_mode(spark, d):
+    """Sizes of the packed streams; the SQL has them by the closed form, without packing."""
+    out = None
+    for name, cfg in MODES.items():
+        if cfg.is_reversible:
+            continue
+        chunks, _ = _price_chunks(spark, d, cfg)
+        one = codec.stream_sizes(chunks, by=[]).select(F.lit(name).alias("mode"), "nbits", F.col("bytes").cast("bigint").alias("bytes"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_PRECISION_BITS = _sql_block_bits(MODES["precision_16"])
+
+
+@query(
+    "chunk_offsets",
+    f"""WITH b AS ({_PRECISION_BITS}), n AS (SELECT count(*) AS n, (count(*) + 511) // 512 AS c FROM b),
+    g AS (SELECT (((block + 1) * c - 1) // n)::BIGINT AS chunk_id, min(block) AS first_block, count(*)::INT AS n_blocks, sum(nbits)::BIGINT AS nbits FROM b, n GROUP BY 1)
+    SELECT *, coalesce(sum(nbits) OVER (ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bit_offset FROM g""",
+)
+def chunk_offsets(spark, d):
+    chunks, _ = _price_chunks(spark, d, MODES["precision_16"])
+    return codec.with_offsets(chunks, by=[]).select("chunk_id", "first_block", "n_blocks", "nbits", "bit_offset")
+
+
+@query("maximum_sizes", " UNION ALL ".join(f"SELECT '{t}' AS kind, '{n}' AS mode, {c.maximum_size(t, (100, 30))} AS bytes" for t in ("i32", "i64", "f32", "f64") for n, c in MODES.items()))
+def maximum_sizes(spark, d):
+    rows = [(t, n, scalar(t).header_bits(c.is_reversible), scalar(t).bits, c.min_bits, c.max_bits, c.max_prec) for t in ("i32", "i64", "f32", "f64") for n, c in MODES.items()]
+    df = spark.createDataFrame(rows, "kind string, mode string, head int, bits int, min_bits int, max_bits int, max_prec int")
+    block = F.greatest(F.least(F.col("head") + 15 + 16 * F.least("max_prec", "bits"), F.col("max_bits")), F.col("head"), F.col("min_bits"))
+    return df.select("kind", "mode", (F.ceil((25 * 8 * block + 148) / 64) * 8).cast("int").alias("bytes"))
+
+
+_CONFIGS = [*MODES.values(), Config(), Config.expert(5, 900, 20, -300), Config.fixed_rate(16, "f64", 4), Config.fixed_precision(1), Config.fixed_accuracy(float("inf")), Config.fixed_accuracy(1e300)]
+
+
+def _signed(word: int) -> int:
+    return word - 2**64 if word >= 2**63 else word
+
+
+@query("mode_words", " UNION ALL ".join(f"SELECT {c.min_bits} AS min_bits, {c.max_bits} AS max_bits, {c.max_prec} AS max_prec, {c.min_exp} AS min_exp, {_signed(c.mode_word()[0])}::BIGINT AS word" for c in _CONFIGS))
+def mode_words(spark, d):
+    df = spark.createDataFrame([(c.min_bits, c.max_bits, c.max_prec, c.min_exp) for c in _CONFIGS], "min_bits int, max_bits int, max_prec int, min_exp int")
+    return df.withColumn("word", expr.mode_word(*map(F.col, df.columns)))
+
+
+_SHAPES = [("i32", (7,)), ("i64", (1 << 24, 5)), ("f32", (100, 30, 9)), ("f64", (1, 4096, 17, 2))]
+
+
+@query("metadata_words", " UNION ALL ".join(f"SELECT '{t}' AS kind, {len(s)} AS rank, {metadata_word(t, s)}::BIGINT AS word" for t, s in _SHAPES))
+def metadata_words(spark, d):
+    out = None
+    for t, s in _SHAPES:
+        df = spark.createDataFrame([(t, len(s), *s)], ["kind", "rank", *[f"n{k}" for k in range(len(s))]])
+        word = expr.metadata_word(F.lit(scalar(t).code), [F.col(f"n{k}") for k in range(len(s))])
+        one = df.select("kind", F.col("rank").cast("int").alias("rank"), word.alias("word"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("headers", " UNION ALL ".join(f"SELECT '{n}' AS mode, '{header_bytes(c, 'f64', (100, 30)).hex()}' AS header" for n, c in MODES.items()))
+def headers(spark, d):
+    registry.register(spark)
+    rows = spark.createDataFrame([(n, c.min_bits, c.max_bits, c.max_prec, c.min_exp) for n, c in MODES.items()], "mode string, a int, b int, c int, e int")
+    return rows.selectExpr("mode", "lower(hex(field_header('f64', array(100L, 30L), a, b, c, e))) AS header")
+
+
+@query("promoted_u8", "SELECT p_partkey, p_size, ((p_size - 128) * 8388608)::INT AS wide, least(greatest((((p_size - 128) * 8388608) >> 23) + 128, 0), 255)::INT AS back FROM part")
+def promoted_u8(spark, d):
+    rows = S.table(spark, d, "part").select("p_partkey", "p_size", expr.promote(F.col("p_size"), "u8").alias("wide"))
+    return rows.withColumn("back", expr.demote(F.col("wide"), "u8").cast("int"))
+
+
+@query("reversible_price", "SELECT o_orderkey AS x, o_totalprice AS value FROM orders")
+def reversible_price(spark, d):
+    """Encoded and decoded again without loss: the SQL is the source itself."""
+    chunks, dims = _price_chunks(spark, d, MODES["reversible"])
+    return B.untile(codec.decode(chunks, "f64", dims, MODES["reversible"], by=[]), dims, by=[])
+
+
+@query("reversible_embeddings", f"SELECT x::BIGINT AS x, vec_id::BIGINT AS y, value FROM ({_EMB})")
+def reversible_embeddings(spark, d):
+    dims = (64, S.table(spark, d, "embeddings").count())
+    chunks = codec.encode(B.tile(S.embedding_elements(spark, d), dims, by=[]), "f32", dims, MODES["reversible"], by=[])
+    return B.untile(codec.decode(chunks, "f32", dims, MODES["reversible"], by=[]), dims, by=[])
+
+
+@query("reversible_cube", ORACLES["untile_3d_i32"])
+def reversible_cube(spark, d):
+    dims = (24, 31, 6)
+    chunks = codec.encode(B.tile(S.event_cube(spark, d), dims, by=[]), "i32", dims, MODES["reversible"], by=[], chunk_blocks=16)
+    return B.untile(codec.decode(chunks, "i32", dims, MODES["reversible"], by=[]), dims, by=[])
+
+
+@query("reversible_custkey", "SELECT o_orderkey AS x, o_custkey::BIGINT AS value FROM orders")
+def reversible_custkey(spark, d):
+    orders = S.table(spark, d, "orders")
+    dims = (orders.count(),)
+    elements = orders.select(F.col("o_orderkey").alias("x"), F.col("o_custkey").cast("bigint").alias("value"))
+    chunks = codec.encode(B.tile(elements, dims, by=[]), "i64", dims, MODES["reversible"], by=[])
+    return B.untile(codec.decode(chunks, "i64", dims, MODES["reversible"], by=[]), dims, by=[])
+
+
+@query("box_of_embeddings", f"SELECT x::BIGINT AS x, vec_id::BIGINT AS y, value FROM ({_EMB}) WHERE x BETWEEN 5 AND 17 AND vec_id BETWEEN 30 AND 90")
+def box_of_embeddings(spark, d):
+    dims = (64, S.table(spark, d, "embeddings").count())
+    chunks = codec.encode(B.tile(S.embedding_elements(spark, d), dims, by=[]), "f32", dims, MODES["reversible"], by=[], chunk_blocks=64)
+    return codec.decode_box(chunks, "f32", dims, MODES["reversible"], [(5, 18), (30, 91)], by=[])
+
+
+@query("stream_round_trip", "SELECT o_orderkey AS x, o_totalprice AS value FROM orders")
+def stream_round_trip(spark, d):
+    """Chunks -> one stream with header -> chunks by what the header says -> values."""
+    cfg = MODES["reversible"]
+    chunks, dims = _price_chunks(spark, d, cfg)
+    named = chunks.withColumn("field_id", F.lit("price"))
+    stream = codec.assemble(named, ["field_id"], "f64", dims, cfg, header=("magic", "meta", "mode"))
+    again = codec.open_stream(stream, ["field_id"])
+    return B.untile(codec.decode(again.where("error IS NULL"), "f64", dims, cfg, by=[]), dims, by=[])
+
+
+@query("array_streams", "SELECT vec_id, 0::BIGINT AS wrong FROM embeddings")
+def array_streams(spark, d):
+    """Every embedding as a stream of its own, and how many of its values come back changed."""
+    cfg = MODES["reversible"]
+    rows = S.table(spark, d, "embeddings").withColumn("stream", codec.encode_arrays("embedding", "f32", cfg))
+    back = rows.withColumn("back", codec.decode_arrays("stream", F.size("embedding"), "f32", cfg))
+    wrong = F.size(F.filter(F.arrays_zip("embedding", "back"), lambda p: ~p["embedding"].eqNullSafe(p["back"])))
+    return back.select("vec_id", wrong.cast("bigint").alias("wrong"))
+
+
+@query("rate_distortion")
+def rate_distortion(spark, d):
+    """Mode, bytes and largest error of the price field."""
+    out = None
+    orders = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("x"), F.col("o_totalprice").alias("value"))
+    for name, cfg in MODES.items():
+        chunks, dims = _price_chunks(spark, d, cfg)
+        size = codec.stream_sizes(chunks, by=[]).select(F.col("bytes").cast("bigint").alias("bytes"))
+        back = B.untile(codec.decode(chunks, "f64", dims, cfg, by=[]), dims, by=[]).withColumnRenamed("value", "back")
+        error = orders.join(back, "x").agg(F.max(F.abs(F.col("value") - F.col("back"))).alias("max_error"))
+        one = size.join(error).select(F.lit(name).alias("mode"), "bytes", "max_error")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("payloads_precision")
+def payloads_precision(spark, d):
+    chunks, _ = _price_chunks(spark, d, MODES["precision_16"])
+    return chunks.select("chunk_id", "nbits", F.sha2("payload", 256).alias("sha256"))
 
 
-def FLAGSHIP(spark, sf_dir):
+def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["block_bits_precision_1d"](spark, sf_dir)
