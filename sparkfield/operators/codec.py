@@ -234,6 +234,8 @@ def open_stream(streams: DataFrame, by: list[str], kind: str | Scalar | None = N
                 out = pd.DataFrame(rows).reindex(columns=columns)
                 for c in ("chunk_id", "first_block", "nbits", "n_blocks", "mode_word"):
                     out[c] = pd.array([None if v is None or v != v else int(v) for v in out[c]], "Int64")
+                for c in ("block_nbits", "payload", "scalar_type", "dims", "error"):
+                    out[c] = pd.Series([None if isinstance(v, float) else v for v in out[c]], dtype=object)
                 for k, c in enumerate(by):
                     out.insert(k, c, [name[k]] * len(out))
                 yield out
