@@ -152,7 +152,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = tokens.encoder(vocabulary)
-        for batch in batches:
+        for batch in common.slices(batches):
             names, rows = [], []
             for name, ids in zip(batch["doc_id"], encode([t if isinstance(t, str) else None for t in batch["text"]])):
                 ids += tokens.END

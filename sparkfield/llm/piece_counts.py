@@ -130,7 +130,7 @@ def piece_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         if vocabulary not in _COUNTERS:
             _COUNTERS[vocabulary] = Counter(vocabulary)
         text = _COUNTERS[vocabulary].text
-        for batch in batches:
+        for batch in common.slices(batches):
             out = pd.DataFrame([text(t) for t in batch["text"]], columns=["n_words", "n_pieces", "n_unknown"])
             out.insert(0, "doc_id", pd.array([None if x is None or x != x else int(x) for x in batch["doc_id"]], "Int64"))
             yield out

@@ -209,7 +209,7 @@ def segments_of(docs: DataFrame, length: int, gram: int) -> DataFrame:
         from xxhash import xxh3_64_intdigest
 
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in common.slices(batches):
             rows = []
             for text, *name in zip(batch["text"], batch["t1"], batch["t2"]):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -234,7 +234,7 @@ def _fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in common.slices(batches):
             rows = []
             for text, parts, *name in zip(batch["text"], batch["parts"], batch["t1"], batch["t2"]):
                 if tuple(name) in seen:
@@ -259,7 +259,7 @@ def _indexed(segments: DataFrame, length: int, index_bytes: int) -> DataFrame:
             rows = [(*n, [{"a": a, "b": b} for a, b in as_runs(x)]) for n, x in zip(names, repeated_starts(parts, length)) if len(x)]
             return pd.DataFrame(rows, columns=["h", "s", "runs"])
 
-        for batch in batches:
+        for batch in common.slices(batches):
             for h, s, raw in zip(batch["h"], batch["s"], batch["bytes"]):
                 if h != anchor and size >= index_bytes:
                     yield found()
@@ -281,7 +281,7 @@ def _counted(segments: DataFrame, length: int) -> DataFrame:
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
 
-        for batch in batches:
+        for batch in common.slices(batches):
             for h, s, raw in zip(batch["h"], batch["s"], batch["bytes"]):
                 n = len(raw) - length + 1
                 yield pd.DataFrame({"h": h, "s": s, "at": range(n), "w": [xxh3_128_digest(raw[k : k + length]) for k in range(n)]})
@@ -327,7 +327,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFra
     found = marks(rows, length, **options).join(copies, TEXT, "full")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in common.slices(batches):
             out = []
             for text, runs, copied in zip(batch["text"], batch["marks"], batch["copied"]):
                 raw = text.encode("utf-8", "surrogatepass")

@@ -124,7 +124,7 @@ def write_volumes(docs: DataFrame, vocabulary: str | None = None, volume_ids: in
             row = {"first_doc": names[0], "doc_ids": list(names), "n_docs": len(parts), "n_ids": total, "ids_before": before, "payload": pack_volume(lengths, b"".join(parts))}
             return pd.DataFrame([row])
 
-        for batch in batches:
+        for batch in common.slices(batches):
             for name, ids in zip(batch["doc_id"], encode([t if isinstance(t, str) else None for t in batch["text"]])):
                 names.append(None if name is None or name != name else int(name))
                 parts.append(ids + tokens.END)
@@ -163,7 +163,7 @@ def read_documents(volumes: DataFrame) -> DataFrame:
     """Per document, from the volumes alone: doc_id, start, n_tokens, ids_crc32."""
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in common.slices(batches):
             for names, start, payload in zip(batch["doc_ids"], batch["volume_start"], batch["payload"]):
                 volume = Volume(payload)
                 ends = volume.boundaries.all()

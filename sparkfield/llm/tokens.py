@@ -17,7 +17,7 @@ import numpy as np
 
 END_ID = 2
 END = np.array([END_ID], "<u4").tobytes()
-MEMO_ENTRIES = 1_000_000  # a full memo is emptied
+MEMO_ENTRIES = 350_000  # of a generation of the memo; two are kept
 TEXTS_AT_ONCE = 512
 
 # What is left of a text without its visible ASCII, spaces, tabs and line feeds must be two-byte characters.
@@ -60,6 +60,7 @@ class Encoder:
         self.opens[[i for w, i in ids.items() if w.startswith("Ġ")]] = True
         self.marks = {m: self.whole(m) for m in MARKS}
         self.chunks: dict[str, bytes] = {}  # ids of a space and the chunk
+        self.before: dict[str, bytes] = {}  # the generation before: what is met again moves on from it
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -72,6 +73,12 @@ class Encoder:
             raise ValueError("the vocabulary splits a word off its leading space")
         self.chunks.update(zip(chunks, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
 
+    def _unknown(self, chunks: set[str]) -> set[str]:
+        """Those that the generation before does not have either; the others move on."""
+        found = {c: v for c in chunks if (v := self.before.get(c)) is not None}
+        self.chunks.update(found)
+        return chunks.difference(found)
+
     def _learn(self, missing: set[str]) -> None:
         words, marked, other = {c for c in missing if c.isalpha()}, [], []
         for c in missing - words:
@@ -80,7 +87,7 @@ class Encoder:
                 marked.append(c)
             else:
                 other.append(c)
-        words.update({c[:-1] for c in marked}.difference(self.chunks))
+        words.update(self._unknown({c[:-1] for c in marked}.difference(self.chunks)))
         for k in range(0, len(some := list(words)), WORDS_AT_ONCE):
             part = some[k : k + WORDS_AT_ONCE]
             self._add(part, (" " + " ".join(part)).encode().decode("latin-1").translate(self.alphabet), self.words)
@@ -93,7 +100,7 @@ class Encoder:
     def some(self, texts: list[str | None]) -> list[bytes]:
         out: list = [b""] * len(texts)
         if len(self.chunks) > MEMO_ENTRIES:
-            self.chunks = {}
+            self.before, self.chunks = self.chunks, {}
         get = self.chunks.get
         heads, plain, gaps, missing = [], [], [], set()
         for i, text in enumerate(texts):
@@ -110,7 +117,7 @@ class Encoder:
                 gaps.append((ids, parts, unknown))
             heads.append(head)
             plain.append((i, ids))
-        if missing:
+        if missing := self._unknown(missing):
             self._learn(missing)
         for ids, parts, unknown in gaps:
             for k in unknown:
