@@ -15,8 +15,8 @@ n-word shingles. Documents with the same set are one node from the start. Then:
    also in documents that may link across that border.
 3. **Candidates** are the stars of documents at the smallest one with the same key, and
    their connected components: never the pairs of a key.
-4. **Verification** on whole sets within each component, breadth first: a document that
-   is reached leaves the rest, so a tight group of copies costs one pass, and no link
+4. **Verification** on whole sets within each component, breadth first, of those that share
+   a rare shingle there: a document that is reached leaves the rest, so a tight group of copies costs one pass, and no link
    between parts that are not yet joined is left untested. Components over
    ``BLOCK_SHINGLES`` are split into blocks: all against the first one, then what the
    largest part does not hold against everything.
@@ -40,8 +40,9 @@ from pyspark.sql import functions as F
 from . import common, graph
 
 FREQUENT = 64
+FIRST, SECOND = 0.5, 3.0  # extensions of the prefixes, in multiples of what may be missing
 MAX_COMBINED = 8
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 4_000_000  # 32 MB, and about ten times that while they are compared
 MEMO_ENTRIES = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -51,13 +52,14 @@ def most_missed(n, percent: int):
     return n - -(-n * percent // 100)
 
 
-def extension(n, percent: int):
-    return np.maximum(1, (most_missed(n, percent) + 1) // 2)
+def extension(n, percent: int, factor: float):
+    """k: ``factor`` times what may be missing, but no more than linked documents must share."""
+    return np.maximum(1, np.minimum(np.ceil(factor * most_missed(n, percent)).astype(np.int64), -(-n * percent // 100)))
 
 
-def surely_shared(n, percent: int):
+def surely_shared(n, percent: int, factor: float):
     """Shingles that the prefixes of a document of n and any linked one share: the extension of the smallest partner."""
-    return extension(-(-n * percent // 100), percent)
+    return extension(-(-n * percent // 100), percent, factor)
 
 
 class Shingler:
@@ -110,15 +112,15 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
         from xxhash import xxh3_128_digest
 
         shingler = Shingler(n)
-        for batch in batches:
+        for batch in common.slices(batches):
             sizes, keys, heads = [], [], []
             for s in _batches(batch["text"], shingler):
                 size = len(s)
                 sizes.append(size)
                 keys.append(xxh3_128_digest(s.tobytes()))
-                heads.append(s[: int(most_missed(size, percent) + extension(size, percent))])
+                heads.append(s[: int(most_missed(size, percent) + extension(size, percent, FIRST))])
             ids = pd.array([None if x is None or x != x else int(x) for x in batch["doc_id"]], "Int64")
-            yield pd.DataFrame({"doc_id": ids, "r1": batch["r1"], "r2": batch["r2"], "n_shingles": sizes, "key": keys, "prefix": heads})
+            yield pd.DataFrame({"doc_id": ids, "r1": batch["r1"].to_numpy(), "r2": batch["r2"].to_numpy(), "n_shingles": sizes, "key": keys, "prefix": heads})
 
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("r2"))
     return rows.mapInPandas(each, "doc_id long, r1 long, r2 long, n_shingles long, key binary, prefix array<long>")
@@ -136,12 +138,12 @@ def in_play(sets: DataFrame, percent: int) -> DataFrame:
 
 def keys_of(order: list[tuple[int, int]], n: int, percent: int, frequent: int, max_combined: int) -> list[int]:
     """Keys of a set of n shingles, from its prefix as (document count, hash) in order."""
-    size = int(most_missed(n, percent) + extension(n, percent))
-    shared = int(surely_shared(n, percent))
+    size = int(most_missed(n, percent) + extension(n, percent, SECOND))
+    shared = int(surely_shared(n, percent, SECOND))
     first, second = order[: size - shared + 1], order[: size - shared + 2]
 
     def combines(m: int) -> bool:
-        return surely_shared(m, percent) >= 2 and most_missed(m, percent) <= max_combined
+        return surely_shared(m, percent, SECOND) >= 2 and most_missed(m, percent) <= max_combined
 
     own = combines(n)
     mixed = not own or not combines(-(-n * percent // 100)) or not combines(n * 100 // percent)
@@ -163,7 +165,7 @@ def candidate_stars(sets: DataFrame, percent: int, frequent: int, max_combined:
     ordered = tokens.join(counts, "token").groupBy("node", "n_shingles").agg(order)  # a prefix at most
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in common.slices(batches):
             nodes, out = [], []
             for node, n, order in zip(batch["node"], batch["n_shingles"], batch["order"]):
                 some = keys_of([(r["df"], r["token"]) for r in order], n, percent, frequent, max_combined)
@@ -177,32 +179,56 @@ def candidate_stars(sets: DataFrame, percent: int, frequent: int, max_combined:
 
 
 def linked_parts(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """The edges of a spanning forest of the links between sets, breadth first."""
+    """The edges of a spanning forest of the links between sets, breadth first.
+
+    A set is held against those that share one of its rarest ``e + 1`` shingles, among theirs,
+    and that no part has reached yet.
+    """
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    flat, local = np.unique(np.concatenate(sets), return_inverse=True)
+    local = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
     starts = np.concatenate(([0], np.cumsum(sizes)))
-    marked = np.zeros(len(flat), np.int64)
-    rest = np.arange(m)
-    gathered = local
-    forest, queue = [], []
-    while len(rest) or queue:
-        if not queue:
-            queue, rest, gathered = [int(rest[0])], rest[1:], gathered[sizes[rest[0]] :]
-        i = queue.pop()
-        if not len(rest):
+    count = np.bincount(local)
+    doc = np.repeat(np.arange(m, dtype=np.int32), sizes)
+    rare_first = local[np.lexsort((local, count[local], doc))]
+    early = np.arange(len(local)) - starts[doc] <= most_missed(sizes, percent)[doc]
+    keys, owners = rare_first[early], doc[early]
+    shared = count[keys] > 1
+    keys, owners = keys[shared], owners[shared]
+    of_doc = np.searchsorted(owners, np.arange(m + 1))
+    by_key = np.argsort(keys, kind="stable")
+    cut = np.flatnonzero(np.diff(keys[by_key])) + 1
+    at = np.concatenate(([0], cut)) if len(keys) else np.zeros(0, np.int64)
+    lists = dict(zip(keys[by_key][at].tolist(), np.split(owners[by_key], cut)))
+    marked = np.zeros(len(count), np.int64)
+    waiting = np.ones(m, bool)
+    forest = []
+    for root in range(m):
+        if not waiting[root]:
             continue
-        own = local[starts[i] : starts[i + 1]]
-        marked[own] = 1
-        at = np.concatenate(([0], np.cumsum(sizes[rest])))
-        shared = np.add.reduceat(marked[gathered], at[:-1])
-        marked[own] = 0
-        hit = 100 * shared >= percent * (sizes[i] + sizes[rest] - shared)
-        if hit.any():
-            forest += [(i, int(j)) for j in rest[hit]]
-            queue += rest[hit].tolist()
-            gathered = gathered[np.repeat(~hit, sizes[rest])]
-            rest = rest[~hit]
+        waiting[root] = False
+        queue = [root]
+        while queue:
+            i = queue.pop()
+            near = []
+            for key in keys[of_doc[i] : of_doc[i + 1]].tolist():
+                left = lists[key]
+                if len(left):
+                    lists[key] = left = left[waiting[left]]
+                    near.append(left)
+            some = np.unique(np.concatenate(near)) if near else np.zeros(0, np.int64)
+            some = some[(100 * sizes[some] >= percent * sizes[i]) & (100 * sizes[i] >= percent * sizes[some])]
+            if not len(some):
+                continue
+            own = local[starts[i] : starts[i + 1]]
+            marked[own] = 1
+            gathered = np.concatenate([local[starts[j] : starts[j + 1]] for j in some.tolist()])
+            common_ = np.add.reduceat(marked[gathered], np.concatenate(([0], np.cumsum(sizes[some])[:-1])))
+            marked[own] = 0
+            hit = some[100 * common_ >= percent * (sizes[i] + sizes[some] - common_)]
+            waiting[hit] = False
+            forest += [(i, j) for j in hit.tolist()]
+            queue += hit.tolist()
     return forest
 
 
@@ -216,7 +242,7 @@ def _links_in_groups(members: DataFrame, percent: int) -> DataFrame:
             found = linked_parts(sets, percent) if len(sets) > 1 else []
             return pd.DataFrame({"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]})
 
-        for batch in batches:
+        for batch in common.slices(batches):
             for g, node, shingles in zip(batch["group"], batch["node"], batch["shingles"]):
                 if g != group:
                     yield links()
@@ -229,8 +255,8 @@ def _links_in_groups(members: DataFrame, percent: int) -> DataFrame:
     return spread.select("group", "node", "shingles").mapInPandas(each, "a binary, b binary")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """The shingles of the ``wanted`` rows (r1, r2, ...), read again from their texts."""
+def whole_sets(docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataFrame:
+    """The shingles of the ``wanted`` rows (r1, r2, node, ...), read again from their texts, and a longer prefix."""
     names = [c for c in wanted.columns if c not in ("r1", "r2")]
     rows = docs.select("text", F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("r2"))
     found = rows.join(wanted, ["r1", "r2"]).select("text", *names)
@@ -238,12 +264,15 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(n)
-        for batch in batches:
-            out = batch.drop(columns="text")
-            out["shingles"] = [s.tobytes() for s in _batches(batch["text"], shingler)]
+        for batch in common.slices(batches):
+            out = batch.drop(columns="text").reset_index(drop=True)
+            sets = list(_batches(batch["text"], shingler))
+            out["shingles"] = [s.tobytes() for s in sets]
+            out["prefix"] = [s[: int(most_missed(len(s), percent) + extension(len(s), percent, SECOND))] for s in sets]
             yield out
 
-    return found.mapInPandas(each, f"{kinds}, shingles binary").dropDuplicates(["node"])
+    # One text of a set was chosen before, so only a repeated row can bring it twice.
+    return found.mapInPandas(each, f"{kinds}, shingles binary, prefix array<long>").dropDuplicates(["node"])
 
 
 def links(members: DataFrame, percent: int, block_shingles: int) -> DataFrame:
@@ -282,14 +311,20 @@ def links(members: DataFrame, percent: int, block_shingles: int) -> DataFrame:
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, frequent: int = FREQUENT, max_combined: int = MAX_COMBINED, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Per row of ``docs``: doc_id, r1, r2, n_shingles, key (of the set), part (the smallest key it reaches)."""
-    rows = common.written(prefixes(docs, n, percent), "prefixes")
-    sets = rows.where("n_shingles > 0").select(F.col("key").alias("node"), "n_shingles", "prefix", "r1", "r2").dropDuplicates(["node"])
-    alive = common.written(in_play(sets, percent), "in_play")
-    clusters = graph.components(candidate_stars(alive, percent, frequent, max_combined)).withColumnRenamed("root", "cluster")
-    wanted = alive.select("node", "r1", "r2").join(clusters, "node")
-    members = common.written(whole_sets(docs, wanted, n), "sets")
-    parts = common.written(graph.components(links(members, percent, block_shingles)).select(F.col("node").alias("key"), F.col("root").alias("part")), "parts")
-    out = rows.drop("prefix").join(parts, "key", "left")
+    table = common.written(prefixes(docs, n, percent), "prefixes")
+    rows = common.written(table.drop("prefix"), "rows")
+    sets = table.where("n_shingles > 0").select(F.col("key").alias("node"), "n_shingles", "prefix", "r1", "r2").dropDuplicates(["node"])
+    alive = common.written(in_play(sets, percent).drop("prefix"), "in_play")
+    common.release(table)
+    whole = common.written(whole_sets(docs, alive, n, percent), "sets")
+    stars = candidate_stars(whole.select("node", "n_shingles", "prefix"), percent, frequent, max_combined)
+    clusters = graph.components(stars).withColumnRenamed("root", "cluster")
+    members = common.written(whole.select("node", "shingles").join(clusters, "node"), "members")
+    common.release(whole)
+    found = links(members, percent, block_shingles)
+    common.release(members)
+    parts = common.written(graph.components(found).select(F.col("node").alias("key"), F.col("root").alias("part")), "parts")
+    out = rows.join(parts, "key", "left")
     return out.withColumn("part", F.coalesce("part", "key"))
 
 
