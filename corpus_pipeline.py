@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sparkfield.llm import common, decontaminate, jaccard, packing, pseudonyms, quality
 
 ORACLE_SQL = None
+MEMO_ENTRIES = 60_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces and their places in sequences of 1024."""
-    return packing.pack(docs)
+    # Worker processes live on between stages, so this one's memory of words is kept small.
+    return packing.pack(docs, memo_entries=MEMO_ENTRIES)
 
 
 STAGES = [

@@ -146,12 +146,12 @@ def assignment(groups: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.
 # ---- the data: pieces, ranks, places
 
 
-def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, memo_entries: int = tokens.MEMO_ENTRIES) -> DataFrame:
     """Token pieces of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32."""
     vocabulary = vocabulary or tokens.default_vocabulary()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokens.encoder(vocabulary)
+        encode = tokens.encoder(vocabulary, memo_entries)
         for batch in common.slices(batches):
             names, rows = [], []
             for name, ids in zip(batch["doc_id"], encode([t if isinstance(t, str) else None for t in batch["text"]])):
@@ -170,11 +170,11 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, memo_entries: int = tokens.MEMO_ENTRIES) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``."""
     spark = docs.sparkSession
     buckets = 4 * common.partitions(spark)
-    table = pieces(docs, vocabulary, capacity)
+    table = pieces(docs, vocabulary, capacity, memo_entries)
     table = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     table = common.written(table, "pieces")
     counts = table.groupBy("length", "bucket").agg(F.count("*").alias("n"))

@@ -17,7 +17,7 @@ import numpy as np
 
 END_ID = 2
 END = np.array([END_ID], "<u4").tobytes()
-MEMO_ENTRIES = 350_000  # of a generation of the memo; two are kept
+MEMO_ENTRIES = 350_000  # of a generation of the memo, some 200 bytes each; two are kept
 TEXTS_AT_ONCE = 512
 
 # What is left of a text without its visible ASCII, spaces, tabs and line feeds must be two-byte characters.
@@ -44,9 +44,11 @@ def default_vocabulary() -> str:
 class Encoder:
     """Texts -> ids as little-endian 32-bit bytes. Special-token strings in a text are ordinary text."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, memo_entries: int):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.memo_entries = memo_entries
+
         self.model = Tokenizer.from_file(vocabulary)
         self.model.encode_special_tokens = True
         # The same model for texts of words only, given in the model's own alphabet of visible bytes.
@@ -99,7 +101,7 @@ class Encoder:
 
     def some(self, texts: list[str | None]) -> list[bytes]:
         out: list = [b""] * len(texts)
-        if len(self.chunks) > MEMO_ENTRIES:
+        if len(self.chunks) > self.memo_entries:
             self.before, self.chunks = self.chunks, {}
         get = self.chunks.get
         heads, plain, gaps, missing = [], [], [], set()
@@ -130,14 +132,14 @@ class Encoder:
         return [ids for k in range(0, len(texts), TEXTS_AT_ONCE) for ids in self.some(texts[k : k + TEXTS_AT_ONCE])]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(vocabulary: str) -> Encoder:
-    """One per worker process."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = Encoder(vocabulary)
-    return _ENCODERS[vocabulary]
+def encoder(vocabulary: str, memo_entries: int = MEMO_ENTRIES) -> Encoder:
+    """One per worker process; it stays for the tasks to come, so one that shares its memory with other stages is kept small."""
+    if (vocabulary, memo_entries) not in _ENCODERS:
+        _ENCODERS[vocabulary, memo_entries] = Encoder(vocabulary, memo_entries)
+    return _ENCODERS[vocabulary, memo_entries]
 
 
 def crc(ids: bytes | memoryview) -> int:
