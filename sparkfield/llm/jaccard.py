@@ -43,7 +43,6 @@ FREQUENT = 64
 FIRST, SECOND = 0.5, 3.0  # extensions of the prefixes, in multiples of what may be missing
 MAX_COMBINED = 8
 BLOCK_SHINGLES = 4_000_000  # 32 MB, and about ten times that while they are compared
-MEMO_ENTRIES = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -67,19 +66,12 @@ class Shingler:
 
     def __init__(self, n: int):
         self.n = n
-        self.memo: dict[bytes, int] = {}
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         from xxhash import xxh3_64_intdigest
 
         words = [t.encode("utf-8", "surrogatepass").lower().split() if isinstance(t, str) else [] for t in texts]
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo = {}
-        memo = self.memo
-        for w in set().union(*words).difference(memo):
-            memo[w] = xxh3_64_intdigest(w)
-        get = memo.__getitem__
-        flat = np.array([h for ws in words for h in map(get, ws)], np.uint64)
+        flat = np.array([xxh3_64_intdigest(w) for ws in words for w in ws], np.uint64)
         sums = np.zeros(max(len(flat) - self.n + 1, 0), np.uint64)
         with np.errstate(over="ignore"):
             for j in range(self.n):
