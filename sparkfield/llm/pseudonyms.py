@@ -7,8 +7,8 @@ kind      validated by                          what is permuted
 ========  ====================================  ==========================================
 email     shape                                 letters and digits of the local part
 card      13 to 19 digits, Luhn sum             all digits but the first; new check digit
-phone     ten digits, grouped, country code or  the ten digits; 2-9 stays 2-9 at the front
-          brackets or separators
+phone     ten digits, grouped by brackets or    the ten digits; at the front 0-1 stays 0-1
+          separators, or with a country code    and 2-9 stays 2-9
 ssn       area, group and serial in use         the nine digits
 ip        four numbers up to 255                the 32-bit address
 date      a day of the calendar (ISO,           the day within its 400 years, which are
@@ -42,7 +42,10 @@ CYCLE_DAYS, CYCLE = 146097, (189, 773)  # days of 400 years
 EMAIL = r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 DATE = r"(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\w/]|[.-]\d)"
 IP = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"
-PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w]|[-.]\d)"
+PHONE = (
+    r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+    r"|\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4})(?![\w]|[-.]\d)"
+)
 SSN = r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])"
 CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|-\d)"
 ANY = "|".join((EMAIL, DATE, IP, PHONE, SSN, CARD))
@@ -163,18 +166,26 @@ def _card(text: Column, key: str) -> Column:
 
 
 def _phone(text: Column, key: str) -> Column:
-    prefix = F.regexp_extract(text, r"^(\+\d{1,3}[ .-]?)?", 0)
+    # The country code is what stands before the last ten digits.
+    prefix = F.regexp_extract(text, r"^(?:\+\d{1,3}[ .-]?)?(?=(?:[^0-9]*[0-9]){10}$)", 0)
     rest = F.substring(text, F.length(prefix) + 1, F.length(text))
 
     def made(d: Column) -> Column:
-        # Only numbers with 2-9 in front are valid: that digit moves within those eight.
-        first = (F.substring(d, 1, 1).cast("int") - 2 + _number(_hash(key, "phone first", F.substring(d, 2, 9)))) % 8 + 2
+        # The first digit moves within 0-1 or within 2-9, so numbers that can be dialled stay so.
+        first = F.substring(d, 1, 1).cast("int")
+        low, n = F.when(first < 2, 0).otherwise(2), F.when(first < 2, 2).otherwise(8)
+        first = (first - low + _number(_hash(key, "phone first", F.substring(d, 2, 9)))) % n + low
         new = F.concat(first.cast("string"), _let(F.substring(d, 2, 9), lambda v: permute_text(v, key, "phone")))
-        return F.when(F.substring(d, 1, 1) >= "2", F.concat(prefix, _let(rest, lambda v: _put_back(v, new))))
+        return F.concat(prefix, _let(rest, lambda v: _put_back(v, new)))
 
     return _let(_digits(rest), made)
 
 
+def _dialled_phone(text: Column, key: str) -> Column:
+    """Null for numbers with 0 or 1 in front of the ten digits."""
+    return F.when(text.rlike(r"[2-9](?:[^0-9]*[0-9]){9}$"), _phone(text, key))
+
+
 def _ssn_valid(text: Column) -> Column:
     return text.rlike(r"^(?!000|666|9\d\d)\d{3}-(?!00)\d\d-(?!0000)\d{4}$")
 
@@ -224,10 +235,11 @@ def _date(text: Column, key: str) -> Column:
 KINDS = ((EMAIL, _email), (DATE, _date), (IP, _ip), (PHONE, _phone), (SSN, _ssn), (CARD, _card))
 
 
-def pseudonym(value: Column, key: str = DEFAULT_KEY) -> Column:
-    """Of a found value; null if it does not validate."""
+def pseudonym(value: Column, key: str = DEFAULT_KEY, dialled: bool = True) -> Column:
+    """Of a found value; null if it does not validate, with ``dialled`` also if it is a phone number with 0 or 1 in front."""
     out = F.lit(None).cast("string")
     for pattern, make in reversed(KINDS):
+        make = _dialled_phone if dialled and make is _phone else make
         out = F.when(value.rlike(_full(pattern)), make(value, key)).otherwise(out)
     return out
 
@@ -243,7 +255,7 @@ def _replaced(docs: DataFrame, key: str, column: str) -> DataFrame:
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     text = F.col(f"row.`{column}`")
     found = row.withColumn("found", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    found = found.withColumn("given", F.transform("found", lambda v: pseudonym(v, key)))
+    found = found.withColumn("given", F.transform("found", lambda v: pseudonym(v, key, dialled=False)))
     new = F.zip_with("found", "given", lambda v, g: F.coalesce(g, v))
     pieces = F.zip_with(F.split(text, ANY, -1), F.array_append(new, ""), lambda p, v: F.concat(p, v))
     some = F.size("found") > 0

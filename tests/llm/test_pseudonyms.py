@@ -99,3 +99,25 @@ def test_texts(spark):
 def test_no_python_in_the_plan(spark, kind):
     plan = P.with_pseudonyms(spark.createDataFrame([("x",)], "text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_all_phones_in_texts(spark):
+    phones = ["+1 (017) 555-7713", "(171) 555-2028", "017-555-7713", "+14155552671", "+1 4155552671", "415-555-2671", "+44 (017) 5557713", "+490175557713"]
+    kept = ["14155552671", "+141555526", "+141555526711234", "415 5552671"]
+    df = spark.createDataFrame([(i, f"call {t}, now") for i, t in enumerate(phones + kept)], "doc_id long, text string")
+    got = [r.text[5:-5] for r in P.with_pseudonyms(df).orderBy("doc_id").collect()]
+    assert got[len(phones) :] == kept
+    new = dict(zip(phones, got))
+    for old, p in new.items():
+        assert p != old and re.sub(r"\d", "0", p) == re.sub(r"\d", "0", old)
+        code, first = re.sub(r"\D", "", old)[:-10], re.sub(r"\D", "", p)[-10]
+        assert re.sub(r"\D", "", p)[:-10] == code and (first < "2") == (re.sub(r"\D", "", old)[-10] < "2")
+    ten = {old: re.sub(r"\D", "", p)[-10:] for old, p in new.items()}
+    assert ten["+1 (017) 555-7713"] == ten["017-555-7713"] == ten["+44 (017) 5557713"] == ten["+490175557713"]
+    assert ten["+14155552671"] == ten["+1 4155552671"] == ten["415-555-2671"]
+
+
+def test_phones_are_permuted(spark):
+    numbers = [f"({a}) 555-{b:04}" for a in ("017", "117", "217", "917") for b in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(numbers)], "doc_id long, text string")
+    assert len({r.text for r in P.with_pseudonyms(df).collect()}) == len(numbers)
