@@ -4,8 +4,8 @@ The byte-level model never merges across pre-tokens, and a single space before a
 character always opens one. So the ids of a text are the concatenation of the ids of its
 chunks: what stands before the first space, then each space with what follows it. The
 library encodes each distinct chunk once per worker, all new ones of a batch in one call;
-texts in which the cut could be in doubt (odd white space, scripts beyond Cyrillic) go to
-the library whole.
+texts in which the cut could be in doubt (odd white space, scripts beyond Cyrillic, one of
+the vocabulary's added tokens) go to the library whole.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Texts -> ids as little-endian 32-bit bytes. Special-token strings in a text are ordinary text."""
+    """Texts -> ids as little-endian 32-bit bytes, as the library's plain call gives them: an added token in a text is that token."""
 
     def __init__(self, vocabulary: str, memo_entries: int):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -50,7 +50,7 @@ class Encoder:
         self.memo_entries = memo_entries
 
         self.model = Tokenizer.from_file(vocabulary)
-        self.model.encode_special_tokens = True
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         # The same model for texts of words only, given in the model's own alphabet of visible bytes.
         self.words = Tokenizer.from_file(vocabulary)
         self.words.pre_tokenizer = pre_tokenizers.Split("Ġ", "merged_with_next")
@@ -108,7 +108,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _in_doubt(text):
+            if _in_doubt(text) or any(t in text for t in self.added):
                 out[i] = self.whole(text)
                 continue
             head, *parts = text.split(" ")

@@ -35,6 +35,15 @@ def test_volumes_match_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_added_tokens_match_brute_force(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y, z", "a <|endoftext| > b", "汉 <|endoftext|> ", "after it"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in T.read_documents(T.write_volumes(df)).collect())
+    assert got == brute(list(enumerate(texts)))
+    ids = tokens.encoder(tokens.default_vocabulary())(texts[:1])[0]
+    assert np.frombuffer(ids, "<u4").tolist() == [64, 220, 50256, 275]
+
+
 def test_ties_nulls_and_nothing(spark):
     df = spark.createDataFrame([(None, "b"), (4, "same"), (4, "same"), (1, None)], "doc_id long, text string")
     got = T.read_documents(T.write_volumes(df)).orderBy("start").collect()
