@@ -72,10 +72,11 @@ class Shingler:
 
         words = [t.encode("utf-8", "surrogatepass").lower().split() if isinstance(t, str) else [] for t in texts]
         flat = np.array([xxh3_64_intdigest(w) for ws in words for w in ws], np.uint64)
-        sums = np.zeros(max(len(flat) - self.n + 1, 0), np.uint64)
+        m = max(len(flat) - self.n + 1, 0)
+        sums = np.zeros(m, np.uint64)
         with np.errstate(over="ignore"):
             for j in range(self.n):
-                sums = (sums ^ flat[j : len(flat) - self.n + 1 + j]) * _MIX[0]
+                sums = (sums ^ flat[j : j + m]) * _MIX[0]
                 sums ^= sums >> np.uint64(31)
             sums *= _MIX[1]
             sums ^= sums >> np.uint64(29)

@@ -82,3 +82,10 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (600, 601)], "a long, b long")
     got = {r.node: r.root for r in graph.components(edges).collect()}
     assert got == {**{i: 0 for i in range(201)}, 600: 600, 601: 600}
+
+
+@pytest.mark.parametrize("n", [1, 3, 5, 8])
+def test_few_words_in_all(n):
+    for k in range(12):
+        for texts in ([" ".join(f"w{i}" for i in range(k))], [None, *[f"w{i}" for i in range(k)], ""]):
+            assert [len(s) for s in J.Shingler(n)(texts)] == [len(shingles(t, n)) for t in texts]
