@@ -322,7 +322,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, frequent: int = FREQUEN
 
 
 def components(docs: DataFrame, n: int = 5, percent: int = 80, **options) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, the smallest doc_id reachable by links."""
+    """Per row: doc_id, n_shingles, component_id, the smallest doc_id reachable by links. Not the links themselves."""
     joined = join(docs, n, percent, **options)
     ids = joined.where("n_shingles > 0").groupBy("part").agg(F.min("doc_id").alias("component_id"))
     out = joined.join(ids, "part", "left")
