@@ -3,16 +3,18 @@
 Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of hashed
 n-word shingles. Documents with the same set are one node from the start. Then:
 
-1. **Extended prefixes.** A document of n shingles can miss ``e = n - ceil(n * percent /
-   100)`` of a partner's at most, so of two that link, the ``e + k`` smallest hashes of
-   either hold the k smallest shared ones. With ``k`` half of ``e``, a document stays in
-   play only if as many of its prefix as its smallest partner would share recur at all.
-   A common passage does not suffice for that.
-2. **Classes.** The prefixes of what is left are put in order of rarity. The rarest
-   shared shingle is among the first ``|prefix| - k + 1`` of both, the two rarest among
-   the first ``|prefix| - k + 2``. A rare shingle is a key by itself; frequent ones are
-   keys in pairs where that gives few pairs (``e <= MAX_COMBINED``), else by themselves,
-   also in documents that may link across that border.
+1. **Extended prefixes.** A document's sketch is the smallest of its hashes, so many that
+   two sketches of linked documents share at least two more shingles than they do not
+   share (:func:`sketch_size`, :func:`bounds`). A document stays in play only if as much of
+   the front of its sketch recurs at all as any linked one would share. A common passage
+   does not suffice for that.
+2. **Classes.** The sketches of what is left are put in order of rarity. If the rarest
+   shared shingle is rare, it is among the first of either sketch, and a key by itself.
+   If it is frequent, then all shared ones are; there are fewer unshared ones than gaps
+   between shared ones, so in the order of the frequent shingles alone some two shared ones
+   are neighbours in both documents. Hence the keys of frequent shingles are the
+   combinations of two neighbours: at most as many as there are frequent shingles, whatever
+   the document's length. A document whose first places hold rare shingles needs none.
 3. **Candidates** are the stars of documents at the smallest one with the same key, and
    their connected components: never the pairs of a key.
 4. **Verification** on whole sets within each component, breadth first, of those that share
@@ -21,6 +23,9 @@ n-word shingles. Documents with the same set are one node from the start. Then:
    ``BLOCK_SHINGLES`` are split into blocks: all against the first one, then what the
    largest part does not hold against everything.
 
+Below ``LEAST_COMBINED`` percent the counts of step 2 do not hold, and frequent shingles are
+keys by themselves.
+
 Hashes have 64 bits for a shingle and 128 for a set.
 
 Defined cases: null and empty texts have empty sets, linked with nothing; fewer than n
@@ -31,6 +36,7 @@ part, and a component of only such rows has no id; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,8 +46,8 @@ from pyspark.sql import functions as F
 from . import common, graph
 
 FREQUENT = 64
-FIRST, SECOND = 0.5, 3.0  # extensions of the prefixes, in multiples of what may be missing
-MAX_COMBINED = 8
+FIRST = 0.5  # extension of the front of a sketch, in multiples of what may be missing
+LEAST_COMBINED = 75
 BLOCK_SHINGLES = 4_000_000  # 32 MB, and about ten times that while they are compared
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -61,6 +67,33 @@ def surely_shared(n, percent: int, factor: float):
     return extension(-(-n * percent // 100), percent, factor)
 
 
+def sketch_size(n, percent: int):
+    """How many of its n hashes, the smallest, a document's sketch has."""
+    return np.minimum(n, -(-3 * n * (100 - percent) // (200 - percent)) + 3)
+
+
+@lru_cache(1 << 16)
+def bounds(n: int, percent: int) -> tuple[int, int, int]:
+    """Of a sketch of a document of n shingles, in any order that all documents share, and those of the others that it may link with:
+
+    the places that are sure to hold the first shared shingle; the places that are sure to hold
+    two shared neighbours, as far as unshared ones can part them; and by how many the shared ones
+    exceed the unshared ones at least.
+    """
+    m = np.arange(-(-n * percent // 100), 100 * n // percent + 1)
+    shared = -(-percent * (n + m) // (100 + percent))
+    a, b = n - shared, m - shared  # what either may have alone
+    m, a, b = (v[(np.minimum(a, b) >= 0) & (a + b > 0)] for v in (m, a, b))
+    if not len(m):
+        return 1, 2, 2  # it links with equal sets only
+    mine, other = sketch_size(n, percent), sketch_size(m, percent)
+    # The sketch that ends at the smaller hash holds nothing that is shared and that the other one lacks.
+    alone = np.concatenate((a, mine - other + b))
+    parted = np.concatenate((2 * a + other - mine, 2 * b + mine - other))
+    both = np.concatenate((mine - a, other - b))
+    return int(alone.max()) + 1, int((alone + parted).max()) + 2, int((both - parted).min())
+
+
 class Shingler:
     """Texts -> sorted distinct hashes of n-word shingles."""
 
@@ -98,8 +131,8 @@ def _batches(texts: pd.Series, shingler: Shingler, size: int = 256) -> Iterator[
         yield from shingler(texts.iloc[k : k + size].tolist())
 
 
-def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Per row: doc_id, r1 and r2 (of the row), n_shingles, key (of the set), prefix."""
+def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Per row: doc_id, r1 and r2 (of the row), n_shingles, key (of the set), sketch."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
@@ -108,67 +141,72 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
         for batch in common.slices(batches):
             sizes, keys, heads = [], [], []
             for s in _batches(batch["text"], shingler):
-                size = len(s)
-                sizes.append(size)
+                sizes.append(len(s))
                 keys.append(xxh3_128_digest(s.tobytes()))
-                heads.append(s[: int(most_missed(size, percent) + extension(size, percent, FIRST))])
+                heads.append(s[: int(sketch_size(len(s), percent))])
             ids = pd.array([None if x is None or x != x else int(x) for x in batch["doc_id"]], "Int64")
-            yield pd.DataFrame({"doc_id": ids, "r1": batch["r1"].to_numpy(), "r2": batch["r2"].to_numpy(), "n_shingles": sizes, "key": keys, "prefix": heads})
+            yield pd.DataFrame({"doc_id": ids, "r1": batch["r1"].to_numpy(), "r2": batch["r2"].to_numpy(), "n_shingles": sizes, "key": keys, "sketch": heads})
+        common.give_back()
 
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("r2"))
-    return rows.mapInPandas(each, "doc_id long, r1 long, r2 long, n_shingles long, key binary, prefix array<long>")
+    return rows.mapInPandas(each, "doc_id long, r1 long, r2 long, n_shingles long, key binary, sketch array<long>")
 
 
 def in_play(sets: DataFrame, percent: int) -> DataFrame:
-    """The sets (node, n_shingles, prefix) of which enough of the prefix recurs."""
-    tokens = sets.select("node", F.explode("prefix").alias("token"))
-    again = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    recurring = tokens.join(again, "token", "left_semi").groupBy("node").agg(F.count("*").alias("recurring"))
-    smallest = F.ceil(F.col("n_shingles") * percent / 100)
-    need = F.greatest(F.lit(1), F.floor((smallest - F.ceil(smallest * percent / 100) + 1) / 2))
-    return sets.join(recurring, "node").where(F.col("recurring") >= need).drop("recurring")
-
-
-def keys_of(order: list[tuple[int, int]], n: int, percent: int, frequent: int, max_combined: int) -> list[int]:
-    """Keys of a set of n shingles, from its prefix as (document count, hash) in order."""
-    size = int(most_missed(n, percent) + extension(n, percent, SECOND))
-    shared = int(surely_shared(n, percent, SECOND))
-    first, second = order[: size - shared + 1], order[: size - shared + 2]
-
-    def combines(m: int) -> bool:
-        return surely_shared(m, percent, SECOND) >= 2 and most_missed(m, percent) <= max_combined
-
-    own = combines(n)
-    mixed = not own or not combines(-(-n * percent // 100)) or not combines(n * 100 // percent)
-    keys = [h for df, h in first if df > 1 and (mixed or df <= frequent)]
-    if own:
-        often = sorted(h for df, h in second if df > frequent)
+    """The nodes of ``sets`` (node, n_shingles, sketch) of which enough of the sketch's front recurs."""
+    n = F.col("n_shingles")
+    missed = n - F.ceil(n * percent / 100)
+    front = missed + F.greatest(F.lit(1), F.least(F.ceil(FIRST * missed), F.ceil(n * percent / 100)))
+    tokens = sets.select("node", "n_shingles", F.explode(F.slice("sketch", F.lit(1), front.cast("int"))).alias("token"))
+    # Written, so that it is an exchange of its own in the join, whose hot tokens Spark then splits.
+    again = common.written(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "again")
+    recurring = tokens.join(again, "token").groupBy("node", "n_shingles").agg(F.count("*").alias("recurring"))
+    smallest = F.ceil(n * percent / 100)
+    lacking = smallest - F.ceil(smallest * percent / 100)
+    need = F.greatest(F.lit(1), F.least(F.ceil(FIRST * lacking), F.ceil(smallest * percent / 100)))
+    alive = common.written(recurring.where(F.col("recurring") >= need).select("node"), "in_play")
+    common.release(again)
+    return alive
+
+
+def keys_of(order: list[tuple[int, int]], n: int, percent: int, frequent: int) -> list[int]:
+    """Keys of a set of n shingles, from those of its sketch that recur, as (document count, hash) in order."""
+    first, second, _ = bounds(n, percent)
+    once = int(sketch_size(n, percent)) - len(order)  # these come before all others
+    combine = percent >= LEAST_COMBINED
+    keys = [h for df, h in order[: max(0, first - once)] if df <= frequent or not combine]
+    # Where the places for the first shared shingle hold rare ones only, that one is rare and its own key.
+    if combine and any(df > frequent for df, _ in order[: max(0, first - once)]):
+        often = np.array([h for df, h in order[: max(0, second - once)] if df > frequent], np.int64).view(np.uint64)
         with np.errstate(over="ignore"):
-            for i, a in enumerate(often):
-                rest = np.array(often[i + 1 :], np.int64).view(np.uint64)
-                keys += ((np.uint64(a % 2**64) * _MIX[1] ^ rest) * _MIX[2]).view(np.int64).tolist()
+            keys += ((often[:-1] * _MIX[1] ^ often[1:]) * _MIX[2]).view(np.int64).tolist()
     return keys
 
 
-def candidate_stars(sets: DataFrame, percent: int, frequent: int, max_combined: int) -> DataFrame:
-    """Edges (a, b) between each set and the smallest one with the same key."""
-    tokens = sets.select("node", "n_shingles", F.explode("prefix").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
+def candidate_stars(sets: DataFrame, percent: int, frequent: int) -> DataFrame:
+    """Edges (a, b) between each set (node, n_shingles, sketch) and the smallest one with the same key."""
+    tokens = sets.select("node", "n_shingles", F.explode("sketch").alias("token"))
+    counts = common.written(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "counts")
     order = F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order")
-    ordered = tokens.join(counts, "token").groupBy("node", "n_shingles").agg(order)  # a prefix at most
+    ordered = tokens.join(counts, "token").groupBy("node", "n_shingles").agg(order)  # a sketch at most
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in common.slices(batches):
             nodes, out = [], []
             for node, n, order in zip(batch["node"], batch["n_shingles"], batch["order"]):
-                some = keys_of([(r["df"], r["token"]) for r in order], n, percent, frequent, max_combined)
+                some = keys_of([(r["df"], r["token"]) for r in order], n, percent, frequent)
                 nodes += [node] * len(some)
                 out += some
             yield pd.DataFrame({"node": nodes, "k": pd.array(out, "Int64")})
 
-    table = common.written(ordered.mapInPandas(keys, "node binary, k long"), "keys")
+    table = common.written(ordered.mapInPandas(keys, "node long, k long"), "keys")
+    common.release(counts)
     hubs = table.groupBy("k").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("k", "hub")
-    return table.join(hubs, "k").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    hubs = common.written(hubs, "hubs")
+    stars = common.written(table.join(hubs, "k").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
+    common.release(table)
+    common.release(hubs)
+    return stars
 
 
 def linked_parts(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -233,7 +271,7 @@ def _links_in_groups(members: DataFrame, percent: int) -> DataFrame:
 
         def links() -> pd.DataFrame:
             found = linked_parts(sets, percent) if len(sets) > 1 else []
-            return pd.DataFrame({"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]})
+            return pd.DataFrame({"a": pd.array([nodes[i] for i, _ in found], "Int64"), "b": pd.array([nodes[j] for _, j in found], "Int64")})
 
         for batch in common.slices(batches):
             for g, node, shingles in zip(batch["group"], batch["node"], batch["shingles"]):
@@ -243,37 +281,33 @@ def _links_in_groups(members: DataFrame, percent: int) -> DataFrame:
                 nodes.append(node)
                 sets.append(np.frombuffer(shingles, np.int64))
         yield links()
+        common.give_back()
 
     spread = members.repartition(common.partitions(members.sparkSession), "group").sortWithinPartitions("group")
-    return spread.select("group", "node", "shingles").mapInPandas(each, "a binary, b binary")
+    return spread.select("group", "node", "shingles").mapInPandas(each, "a long, b long")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataFrame:
-    """The shingles of the ``wanted`` rows (r1, r2, node, ...), read again from their texts, and a longer prefix."""
-    names = [c for c in wanted.columns if c not in ("r1", "r2")]
+def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The shingles of the ``wanted`` rows (r1, r2, node, cluster), read again from their texts."""
     rows = docs.select("text", F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("r2"))
-    found = rows.join(wanted, ["r1", "r2"]).select("text", *names)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema if f.name in names)
+    found = rows.join(wanted, ["r1", "r2"]).select("text", "node", "cluster")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(n)
         for batch in common.slices(batches):
-            out = batch.drop(columns="text").reset_index(drop=True)
-            sets = list(_batches(batch["text"], shingler))
-            out["shingles"] = [s.tobytes() for s in sets]
-            out["prefix"] = [s[: int(most_missed(len(s), percent) + extension(len(s), percent, SECOND))] for s in sets]
-            yield out
+            yield pd.DataFrame({"node": batch["node"], "cluster": batch["cluster"], "shingles": [s.tobytes() for s in _batches(batch["text"], shingler)]})
+        common.give_back()
 
     # One text of a set was chosen before, so only a repeated row can bring it twice.
-    return found.mapInPandas(each, f"{kinds}, shingles binary, prefix array<long>").dropDuplicates(["node"])
+    return found.mapInPandas(each, "node long, cluster long, shingles binary").dropDuplicates(["node"])
 
 
 def links(members: DataFrame, percent: int, block_shingles: int) -> DataFrame:
     """Edges that join what is linked, of ``members`` (cluster, node, shingles), written."""
     load = members.groupBy("cluster").agg(F.sum(F.length("shingles") / 8).alias("load"))
-    large = load.where(F.col("load") > block_shingles)
+    large = common.written(load.where(F.col("load") > block_shingles), "large")
     n_large = large.count()
-    group = F.col("cluster").alias("group")
+    group = F.col("cluster").cast("string").alias("group")
     if not n_large:
         return common.written(_links_in_groups(members.select(group, "node", "shingles"), percent), "links")
     small = members.join(large, "cluster", "left_anti").select(group, "node", "shingles")
@@ -282,7 +316,7 @@ def links(members: DataFrame, percent: int, block_shingles: int) -> DataFrame:
     big = common.written(big.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("load"), "blocks")
     # Every block with the first one; the first block goes to all.
     to = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    dealt = big.withColumn("to", F.explode(to)).select(F.concat("cluster", F.lit("/").cast("binary"), F.col("to").cast("string").cast("binary")).alias("group"), "node", "shingles")
+    dealt = big.withColumn("to", F.explode(to)).select(F.concat_ws("/", "cluster", "to").alias("group"), "node", "shingles")
     first = common.written(_links_in_groups(small.unionByName(dealt), percent), "links")
     # What is not in its cluster's largest part is held against all blocks.
     roots = graph.components(first)
@@ -291,51 +325,65 @@ def links(members: DataFrame, percent: int, block_shingles: int) -> DataFrame:
     main = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     outside = common.written(parts.join(main, "cluster").where("root <> main").select("cluster", "node"), "outside")
     if not outside.limit(1).count():
+        common.release(big)
         return first
     strays = big.join(outside, ["cluster", "node"], "left_semi")
     n_stray = strays.groupBy("cluster").agg(F.ceil(2 * F.sum(F.length("shingles") / 8) / block_shingles).cast("int").alias("heaps"))
     strays = strays.join(n_stray, "cluster").withColumn("heap", F.pmod(F.xxhash64("node", F.lit(7)), F.col("heaps")).cast("int"))
-    name = F.concat("cluster", F.lit("/").cast("binary"), F.concat_ws("/", "h", "t").cast("binary")).alias("group")
+    name = F.concat_ws("/", "cluster", "h", "t").alias("group")
     left = strays.withColumn("h", F.col("heap")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = big.join(n_stray, "cluster").withColumn("t", F.col("block")).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("heaps") - 1)))
     pairs = left.select(name, "node", "shingles").unionByName(right.select(name, "node", "shingles")).dropDuplicates(["group", "node"])
-    return first.unionByName(common.written(_links_in_groups(pairs, percent), "links"))
-
-
-def join(docs: DataFrame, n: int = 5, percent: int = 80, frequent: int = FREQUENT, max_combined: int = MAX_COMBINED, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """Per row of ``docs``: doc_id, r1, r2, n_shingles, key (of the set), part (the smallest key it reaches)."""
-    table = common.written(prefixes(docs, n, percent), "prefixes")
-    rows = common.written(table.drop("prefix"), "rows")
-    sets = table.where("n_shingles > 0").select(F.col("key").alias("node"), "n_shingles", "prefix", "r1", "r2").dropDuplicates(["node"])
-    alive = common.written(in_play(sets, percent).drop("prefix"), "in_play")
+    out = common.written(first.unionByName(_links_in_groups(pairs, percent)), "links")
+    for t in (big, first, outside):
+        common.release(t)
+    return out
+
+
+def join(docs: DataFrame, n: int = 5, percent: int = 80, frequent: int = FREQUENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Per row of ``docs``: doc_id, r1, r2, n_shingles, key (of the set), part (the smallest node it reaches, null without links)."""
+    common.small_batches(docs.sparkSession)
+    table = common.written(sketches(docs, n, percent), "sketches")
+    rows = common.written(table.drop("sketch"), "rows")
+    sets = table.where("n_shingles > 0").dropDuplicates(["key"]).select(F.monotonically_increasing_id().alias("node"), "key", "n_shingles", "r1", "r2", "sketch")
+    sets = common.written(sets, "sets")
     common.release(table)
-    whole = common.written(whole_sets(docs, alive, n, percent), "sets")
-    stars = candidate_stars(whole.select("node", "n_shingles", "prefix"), percent, frequent, max_combined)
-    clusters = graph.components(stars).withColumnRenamed("root", "cluster")
-    members = common.written(whole.select("node", "shingles").join(clusters, "node"), "members")
-    common.release(whole)
+    alive = in_play(sets, percent)
+    playing = common.written(sets.join(alive, "node"), "playing")
+    common.release(sets)
+    common.release(alive)
+    stars = candidate_stars(playing.select("node", "n_shingles", "sketch"), percent, frequent)
+    places = common.written(playing.drop("sketch"), "places")
+    common.release(playing)
+    clusters = common.written(graph.components(stars).withColumnRenamed("root", "cluster"), "clusters")
+    common.release(stars)
+    members = common.written(whole_sets(docs, places.select("r1", "r2", "node").join(clusters, "node"), n), "members")
+    common.release(clusters)
     found = links(members, percent, block_shingles)
     common.release(members)
-    parts = common.written(graph.components(found).select(F.col("node").alias("key"), F.col("root").alias("part")), "parts")
-    out = rows.join(parts, "key", "left")
-    return out.withColumn("part", F.coalesce("part", "key"))
+    parts = graph.components(found).withColumnRenamed("root", "part")
+    parts = common.written(parts.join(places.select("node", "key"), "node").select("key", "part"), "parts")
+    common.release(places)
+    common.release(found)
+    return rows.join(parts, "key", "left")
 
 
 def components(docs: DataFrame, n: int = 5, percent: int = 80, **options) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, the smallest doc_id reachable by links. Not the links themselves."""
-    joined = join(docs, n, percent, **options)
-    ids = joined.where("n_shingles > 0").groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    out = joined.join(ids, "part", "left")
+    joined = join(docs, n, percent, **options).withColumn("alone", F.when(F.col("part").isNull(), F.col("key")))
+    ids = joined.where("n_shingles > 0").groupBy("part", "alone").agg(F.min("doc_id").alias("component_id"))
+    ids = common.written(ids, "ids").select(F.col("part").alias("p"), F.col("alone").alias("q"), "component_id")
+    out = joined.join(ids, F.col("part").eqNullSafe(F.col("p")) & F.col("alone").eqNullSafe(F.col("q")), "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, **options) -> DataFrame:
     """One row of each component, that with the smallest doc_id; rows with empty sets all stay."""
-    joined = join(docs, n, percent, **options)
+    joined = join(docs, n, percent, **options).withColumn("alone", F.when(F.col("part").isNull(), F.col("key")))
     names = [F.col(f"`{c}`") for c in docs.columns]
     row = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("i"), "r1", "r2")
-    best = joined.where("n_shingles > 0").groupBy("part").agg(F.min(row).alias("row")).select("row.r1", "row.r2")
+    best = joined.where("n_shingles > 0").groupBy("part", "alone").agg(F.min(row).alias("row")).select("row.r1", "row.r2")
     empty = joined.where("n_shingles = 0").select("r1", "r2", F.lit(True).alias("all")).distinct()
     stay = best.withColumn("all", F.lit(False)).unionByName(empty)
     packed = docs.select(F.struct(*names).alias("row"), F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("r2"))

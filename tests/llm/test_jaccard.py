@@ -55,8 +55,10 @@ def corpus(seed, groups=12, size=8, passage=True):
 @pytest.mark.parametrize("seed, n, percent, options", [
     (1, 3, 90, {}),
     (2, 5, 80, {}),
-    (3, 3, 90, {"frequent": 2, "max_combined": 40}),
-    (4, 5, 80, {"frequent": 1, "max_combined": 12, "block_shingles": 300}),
+    (3, 3, 90, {"frequent": 1}),
+    (4, 5, 80, {"frequent": 1, "block_shingles": 300}),
+    (6, 5, 80, {"frequent": 2}),
+    (8, 3, 76, {"frequent": 1}),
     (5, 3, 70, {"block_shingles": 200}),
 ])
 def test_against_brute_force(spark, seed, n, percent, options):
@@ -89,3 +91,37 @@ def test_few_words_in_all(n):
     for k in range(12):
         for texts in ([" ".join(f"w{i}" for i in range(k))], [None, *[f"w{i}" for i in range(k)], ""]):
             assert [len(s) for s in J.Shingler(n)(texts)] == [len(shingles(t, n)) for t in texts]
+
+
+@pytest.mark.parametrize("percent", [75, 76, 80, 85, 90, 95, 99])
+def test_sketches_share_more_than_they_do_not(percent):
+    assert all(J.bounds(n, percent)[2] >= 2 for n in [*range(1, 600), 1000, 5001, 40000])
+
+
+@pytest.mark.parametrize("percent", [75, 80, 90])
+def test_linked_sets_have_a_common_key(percent):
+    rng = random.Random(percent)
+    for _ in range(3000):
+        n = rng.randrange(1, 150)
+        a = set(rng.sample(range(1, 10**6), n))
+        b = set(a)
+        for _ in range(rng.randrange(0, n // 4 + 1)):
+            step = rng.random()
+            if step < 0.6 and b:
+                b.remove(rng.choice(sorted(b)))
+            if step > 0.3:
+                b.add(rng.randrange(10**6))
+        if not b or a == b or 100 * len(a & b) < percent * len(a | b):
+            continue
+        # Counts are any function of the shingle; those of shared ones are 2 at least.
+        sketches = [sorted(s)[: int(J.sketch_size(len(s), percent))] for s in (a, b)]
+        shared = set(sketches[0]) & set(sketches[1])
+        df = {h: rng.choice([1, 2, 3, 9]) if h not in shared else rng.choice([2, 3, 9]) for h in a | b}
+        for frequent in (1, 2, 5):
+            keys = [set(J.keys_of(sorted((df[h], h) for h in s if df[h] > 1), len(x), percent, frequent)) for s, x in zip(sketches, (a, b))]
+            assert keys[0] & keys[1]
+
+
+def test_keys_of_long_documents_are_as_many_as_their_sketch():
+    order = [(100, h) for h in range(int(J.sketch_size(50_000, 90)))]
+    assert len(J.keys_of(order, 50_000, 90, 64)) < len(order)
