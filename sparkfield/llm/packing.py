@@ -146,8 +146,8 @@ def assignment(groups: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.
 # ---- the data: pieces, ranks, places
 
 
-def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, memo_entries: int = tokens.MEMO_ENTRIES) -> DataFrame:
-    """Token pieces of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32."""
+def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, memo_entries: int = tokens.MEMO_ENTRIES, forget: bool = False) -> DataFrame:
+    """Token pieces of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32. With ``forget`` a task's end drops its encoder."""
     vocabulary = vocabulary or tokens.default_vocabulary()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,15 +166,18 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
                 out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32"])
                 out.insert(0, "doc_id", pd.array(names, "Int64"))
                 yield out
+        if forget:
+            del encode
+            tokens.forget()
 
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, memo_entries: int = tokens.MEMO_ENTRIES) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, memo_entries: int = tokens.MEMO_ENTRIES, forget: bool = False) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``."""
     spark = docs.sparkSession
     buckets = 4 * common.partitions(spark)
-    table = pieces(docs, vocabulary, capacity, memo_entries)
+    table = pieces(docs, vocabulary, capacity, memo_entries, forget)
     table = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     table = common.written(table, "pieces")
     counts = table.groupBy("length", "bucket").agg(F.count("*").alias("n"))

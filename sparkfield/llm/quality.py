@@ -107,6 +107,7 @@ def measured(text: str) -> Column:
     def each(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             yield pd.DataFrame([measure(t) for t in batch], columns=[*BASE, "votes"])
+        common.give_back()
 
     return F.pandas_udf(each, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, votes string")(text)
 
@@ -180,11 +181,12 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that stay, with their columns as they were."""
-    names = docs.columns
-    _, posterior = fit(docs.select(measured("text").alias("q")).select("q.votes"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), measured("text").alias("q"))
-    return with_verdict(packed, posterior, threshold).where("kept").select("row.*")
+    """The documents that stay, with their columns as they were. Texts are measured once, and written with their votes."""
+    common.small_batches(docs.sparkSession)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    table = common.written(docs.select(row).withColumn("q", measured("row.text")), "votes")
+    _, posterior = fit(table.select("q.votes"))
+    return with_verdict(table, posterior, threshold).where("kept").select("row.*")
 
 
 def op7_quality_votes(spark, sf_dir: str) -> DataFrame:
