@@ -7,9 +7,11 @@ in documents with such a word are joined; the window's length and the word's pos
 it bound where it may start; equality of the words is then checked exactly.
 
 The texts are read twice: once to count the benchmark's words, once for the candidate
-places, each with its surroundings of twice the window. The benchmark's words are matched
-in blocks of ``WORDS_A_BLOCK``; windows are broadcast up to ``BROADCAST_WINDOWS`` of
-them, joined by word beyond that.
+places, each with its surroundings of twice the window. Up to ``LISTED_WORDS`` prefix words
+are looked for as a list in the plan; beyond that places are found by a join with the
+table of words. Vocabulary, windows and contaminated documents are broadcast up to
+``BROADCAST_WORDS``, ``BROADCAST_WINDOWS`` and ``BROADCAST_DOCUMENTS`` rows, and joined by
+key beyond that.
 
 Defined cases: null and empty texts have no words and are clean; an item without words has
 no window; items without id go by the empty name; repeated rows are judged each on its
@@ -25,9 +27,10 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 13
-WORDS_A_BLOCK = 50_000
+LISTED_WORDS = 50_000
 BROADCAST_WORDS = 500_000
 BROADCAST_WINDOWS = 100_000
+BROADCAST_DOCUMENTS = 500_000  # 16 bytes each
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -51,44 +54,49 @@ def with_prefix(windows: DataFrame, docs: DataFrame) -> DataFrame:
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
     small = vocabulary.count() <= BROADCAST_WORDS
     seen = docs.select(F.explode(words_of(F.col("text"))).alias("word")).join(F.broadcast(vocabulary) if small else vocabulary, "word", "left_semi")
-    counts = seen.groupBy("word").agg(F.count("*").alias("n"))
-    placed = windows.select("words", "items", F.posexplode("words").alias("off", "word")).join(counts, "word", "left")
+    counts = seen.groupBy("word").agg(F.count("*").alias("n"))  # of the vocabulary's words at most
+    placed = windows.select("words", "items", F.posexplode("words").alias("off", "word")).join(F.broadcast(counts) if small else counts, "word", "left")
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "off")).alias("first")
     # A window with a word that no document has cannot occur.
     return placed.groupBy("words", "items").agg(rarest).where("first.n > 0").select("words", "items", "first.word", "first.off")
 
 
-def _places(words: Column, wanted: list[str]) -> Column:
-    return F.filter(F.transform(words, lambda w, i: F.when(w.isin(wanted), i)), lambda i: i.isNotNull())
+def _with_surroundings(places: Column, words: Column, window: int) -> Column:
+    """Of each place: at, the word there, and the words around it from ``base`` on."""
 
+    def base(i: Column) -> Column:
+        return F.greatest(i - (window - 1), F.lit(0))
 
-def _row(columns: list[str], words: Column, prefix: list[str], window: int) -> list[Column]:
-    """The columns, n_words, and ``places``: where a prefix word stands, and the words around it."""
-    places = F.lit(None)
-    parts = [prefix[k : k + WORDS_A_BLOCK] for k in range(0, len(prefix), WORDS_A_BLOCK)]
-    if parts:
-        found = [_places(words, part) for part in parts]
+    return F.transform(
+        places, lambda i: F.struct(i.alias("at"), F.get(words, i).alias("word"), base(i).alias("base"), F.slice(words, base(i) + 1, F.lit(2 * window - 1)).alias("around"))
+    )
 
-        def base(i: Column) -> Column:
-            return F.greatest(i - (window - 1), F.lit(0))
 
-        places = F.transform(
-            F.flatten(F.array(*found)),
-            lambda i: F.struct(i.alias("at"), F.get(words, i).alias("word"), base(i).alias("base"), F.slice(words, base(i) + 1, F.lit(2 * window - 1)).alias("around")),
-        )
-    return [*map(F.col, columns), F.size(words).alias("n_words"), places.alias("places")]
+def _places(table: DataFrame, windows: DataFrame, listed: int) -> DataFrame:
+    """``table`` (row, doc_id, h, words) with the places at which one of the windows' prefix words stands, none as null."""
+    words, none = F.col("words"), F.lit(None).cast("array<int>")
+    prefix = windows.select("word").distinct()
+    n = prefix.count()
+    if not n:
+        return table.withColumn("at", none)
+    if n <= listed:
+        some = sorted(r.word for r in prefix.collect())
+        return table.withColumn("at", F.filter(F.transform(words, lambda w, i: F.when(w.isin(some), i)), lambda i: i.isNotNull()))
+    spots = table.select("row", F.posexplode("words").alias("i", "word"))
+    spots = spots.join(F.broadcast(prefix) if n <= BROADCAST_WORDS else prefix, "word", "left_semi")
+    # Places of one text; as many as it has words at most.
+    return table.join(spots.groupBy("row").agg(F.collect_set("i").alias("at")), "row", "left")
 
 
-def find(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, listed: int = LISTED_WORDS) -> DataFrame:
     """Per document: doc_id, h (of its text), n_words, n_hit, n_items, items_sha256."""
     windows = common.written(with_prefix(windows_of(items, window), docs), "windows")
     n_windows = windows.count()
-    prefix = sorted(r.word for r in windows.select("word").distinct().collect()) if n_windows else []
     key = ["doc_id", "h"]
-    table = docs.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("words"))
-    kind = "array<struct<at:int,word:string,base:int,around:array<string>>>"
-    *front, places = _row(key, F.col("words"), prefix, window)
-    table = common.written(table.select(*front, places.cast(kind).alias("places")), "places")
+    table = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("words"))
+    places = _with_surroundings(F.col("at"), F.col("words"), window).alias("places")
+    table = _places(table, windows, listed).select(*key, F.size("words").alias("n_words"), places)
+    table = common.written(table, "places")
 
     spots = table.where(F.size("places") > 0).select(*key, F.explode("places").alias("p")).select(*key, "p.*")
     joined = spots.join(F.broadcast(windows) if n_windows <= BROADCAST_WINDOWS else windows, "word")
@@ -124,6 +132,8 @@ def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     """The documents that are not contaminated, with their columns as they were."""
     names = [F.col(f"`{c}`") for c in docs.columns]
     dirty = find(docs, items, window).where(contaminated()).select(F.col("doc_id").alias("i"), F.col("h").alias("g")).distinct()
+    dirty = common.written(dirty, "contaminated")
+    dirty = F.broadcast(dirty) if dirty.count() <= BROADCAST_DOCUMENTS else dirty
     packed = docs.select(F.struct(*names).alias("row"), F.xxhash64("text").alias("h"))
     left = packed.join(dirty, F.col("row.doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left_anti")
     return left.select("row.*")

@@ -56,13 +56,22 @@ def test_against_brute_force(spark):
 
 
 def test_beyond_the_bounds(spark, monkeypatch):
-    for name in ("BROADCAST_WORDS", "BROADCAST_WINDOWS"):
+    for name in ("BROADCAST_WORDS", "BROADCAST_WINDOWS", "BROADCAST_DOCUMENTS"):
         monkeypatch.setattr(D, name, 0)
-    monkeypatch.setattr(D, "WORDS_A_BLOCK", 3)
     docs, items = fixture()
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    rows = D.find(d, i).withColumn("contaminated", D.contaminated()).drop("h").collect()
+    rows = D.find(d, i, listed=0).withColumn("contaminated", D.contaminated()).drop("h").collect()
     assert sorted(map(tuple, rows), key=str) == brute(docs, items)
+    assert D.keep_clean(d, i).count() == sum(not r[-1] for r in brute(docs, items))
+
+
+def test_very_long_texts(spark):
+    words_ = [f"w{k % 977}" for k in range(60_000)]
+    docs = [(1, " ".join(words_)), (2, " ".join(words_[500:520]))]
+    items = [(7, " ".join(words_[100:130])), (8, "w1 w3 w2")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = sum(100 <= k % 977 < 130 for k in range(60_000))
+    assert [(r.doc_id, r.n_words, r.n_hit, r.n_items) for r in D.find(d, i).orderBy("doc_id").collect()] == [(1, 60_000, expected, 1), (2, 20, 0, 0)]
 
 
 def test_empty_tables(spark):
