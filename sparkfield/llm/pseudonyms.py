@@ -9,7 +9,7 @@ email     shape                                 letters and digits of the local
 card      13 to 19 digits, Luhn sum             all digits but the first; new check digit
 phone     ten digits, grouped by brackets or    the ten digits; at the front 0-1 stays 0-1
           separators, or with a country code    and 2-9 stays 2-9
-ssn       area, group and serial in use         the nine digits
+ssn       area, group and serial in use         its number among the valid ones, 88902 * 9999
 ip        four numbers up to 255                the 32-bit address
 date      a day of the calendar (ISO,           the day within its 400 years, which are
           D.M.Y or M/D/Y with two-digit parts)  189 * 773 days
@@ -18,9 +18,11 @@ date      a day of the calendar (ISO,           the day within its 400 years, wh
 Each permutation alternates between two halves: one half's symbols move, each within its
 own alphabet, by a keyed hash of the other half. So it is a bijection whatever the
 length, digits stay digits, and equal values get equal pseudonyms in all documents, with
-or without separators. (Validation after the fact, as for ssn, walks on until the result
-is valid, four steps at most, and then keeps the last step that is.) What does not
-validate stays as it is.
+or without separators. Numbers of which only some are valid are permuted by their
+place among the valid ones, so that the result is valid. What does not validate stays as it is.
+
+The key is a parameter of all functions here; the registered query and the pipeline read
+it from the session's ``spark.sparkfield.pseudonym.key`` (:func:`session_key`).
 
 Defined cases: a null text stays null; texts without a value stay as they are, byte for
 byte; repeated rows get the same text; other columns stay.
@@ -30,13 +32,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 ROUNDS = 8
-DEFAULT_KEY = "rotate this key with each release"
+KEY_SETTING = "spark.sparkfield.pseudonym.key"
+DEFAULT_KEY = "not a secret: for tests"
+SSN_AREAS, SSN_GROUPS, SSN_SERIALS = 898, 99, 9999  # 001 to 899 without 666, 01 to 99, 0001 to 9999
 CYCLE_DAYS, CYCLE = 146097, (189, 773)  # days of 400 years
 
 EMAIL = r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
@@ -191,13 +195,17 @@ def _ssn_valid(text: Column) -> Column:
 
 
 def _ssn(text: Column, key: str) -> Column:
-    step = F.struct(text.alias("at"), text.alias("last"), F.lit(False).alias("done"))
+    area, group, serial = [p.cast("bigint") for p in (F.substring(text, 1, 3), F.substring(text, 5, 2), F.substring(text, 8, 4))]
+    place = area - 1 - F.when(area > 666, 1).otherwise(0)
+    number = (place * SSN_GROUPS + group - 1) * SSN_SERIALS + serial - 1
+    new = permute_number(number, (SSN_AREAS * SSN_GROUPS, SSN_SERIALS), key, "ssn")
 
-    def walk(s: Column, r: Column) -> Column:
-        new = _put_back(s["at"], _let(_digits(s["at"]), lambda v: permute_text(v, key, "ssn")))
-        return F.when(s["done"], s).otherwise(_let(new, lambda v: F.struct(v.alias("at"), v.alias("last"), _ssn_valid(v).alias("done"))))
+    def written(v: Column) -> Column:
+        place = F.floor(v / (SSN_GROUPS * SSN_SERIALS))
+        parts = (place + 1 + F.when(place >= 665, 1).otherwise(0), F.floor(v / SSN_SERIALS) % SSN_GROUPS + 1, v % SSN_SERIALS + 1)
+        return F.concat_ws("-", *[F.lpad(p.cast("bigint").cast("string"), n, "0") for p, n in zip(parts, (3, 2, 4))])
 
-    return F.when(_ssn_valid(text), F.aggregate(F.sequence(F.lit(1), F.lit(4)), step, walk, lambda s: s["last"]))
+    return F.when(_ssn_valid(text), _let(new, written))
 
 
 def _ip(text: Column, key: str) -> Column:
@@ -235,7 +243,11 @@ def _date(text: Column, key: str) -> Column:
 KINDS = ((EMAIL, _email), (DATE, _date), (IP, _ip), (PHONE, _phone), (SSN, _ssn), (CARD, _card))
 
 
-def pseudonym(value: Column, key: str = DEFAULT_KEY, dialled: bool = True) -> Column:
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, DEFAULT_KEY)
+
+
+def pseudonym(value: Column, key: str, dialled: bool = True) -> Column:
     """Of a found value; null if it does not validate, with ``dialled`` also if it is a phone number with 0 or 1 in front."""
     out = F.lit(None).cast("string")
     for pattern, make in reversed(KINDS):
@@ -244,7 +256,7 @@ def pseudonym(value: Column, key: str = DEFAULT_KEY, dialled: bool = True) -> Co
     return out
 
 
-def with_pseudonyms(docs: DataFrame, key: str = DEFAULT_KEY, column: str = "text") -> DataFrame:
+def with_pseudonyms(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """``docs`` with the values in ``column`` replaced."""
     names = [F.col("new.text").alias(column) if c == column else F.col(f"row.`{c}`") for c in docs.columns]
     return _replaced(docs, key, column).select(*names)
@@ -268,4 +280,4 @@ def _replaced(docs: DataFrame, key: str, column: str) -> DataFrame:
 
 def op4_feistel_pseudonyms(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _replaced(docs, DEFAULT_KEY, "text").select("row.doc_id", "new.n_replaced", "new.text")
+    return _replaced(docs, session_key(spark), "text").select("row.doc_id", "new.n_replaced", "new.text")

@@ -40,7 +40,7 @@ def card(rng, n=16):
 
 def values(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "v string")
-    return [r.p for r in df.select(P.pseudonym(F.col("v")).alias("p")).collect()]
+    return [r.p for r in df.select(P.pseudonym(F.col("v"), P.DEFAULT_KEY).alias("p")).collect()]
 
 
 def test_permutation_agrees_and_inverts(spark):
@@ -86,18 +86,18 @@ def test_texts(spark):
     clean = ["Version 2.0.\nBY-NC 4.0.", "", None, "1,2.5 and 3.4.5 v1.2.3.4.5 1234567890123456", "x@ y @z a@b", "password=e3b3ed3cc8548923d6", "é 汉 " * 4000]
     texts = [*clean, "mail a.b@x.org, card 4111111111111111. IP 10.1.2.3; (982) 555-2127 and a.b@x.org", "10.1.2.3"]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, new int").withColumn("found", F.lit(2))
-    out = P.with_pseudonyms(df)
+    out = P.with_pseudonyms(df, P.DEFAULT_KEY)
     assert out.columns == df.columns
     got = [r.text for r in out.orderBy("doc_id").collect()]
     assert got[: len(clean)] == clean
     assert re.fullmatch(r"mail ([a-z]\.[a-z]@x\.org), card 4\d{15}\. IP [\d.]+; \([2-9]\d\d\) \d{3}-\d{4} and \1", got[-2])
     assert got[-1] in got[-2] and "10.1.2.3" not in got[-2]
-    assert P.with_pseudonyms(df.limit(0)).count() == 0
+    assert P.with_pseudonyms(df.limit(0), P.DEFAULT_KEY).count() == 0
 
 
 @pytest.mark.parametrize("kind", P.KINDS)
 def test_no_python_in_the_plan(spark, kind):
-    plan = P.with_pseudonyms(spark.createDataFrame([("x",)], "text string"))._jdf.queryExecution().toString()
+    plan = P.with_pseudonyms(spark.createDataFrame([("x",)], "text string"), P.DEFAULT_KEY)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
@@ -105,7 +105,7 @@ def test_all_phones_in_texts(spark):
     phones = ["+1 (017) 555-7713", "(171) 555-2028", "017-555-7713", "+14155552671", "+1 4155552671", "415-555-2671", "+44 (017) 5557713", "+490175557713"]
     kept = ["14155552671", "+141555526", "+141555526711234", "415 5552671"]
     df = spark.createDataFrame([(i, f"call {t}, now") for i, t in enumerate(phones + kept)], "doc_id long, text string")
-    got = [r.text[5:-5] for r in P.with_pseudonyms(df).orderBy("doc_id").collect()]
+    got = [r.text[5:-5] for r in P.with_pseudonyms(df, P.DEFAULT_KEY).orderBy("doc_id").collect()]
     assert got[len(phones) :] == kept
     new = dict(zip(phones, got))
     for old, p in new.items():
@@ -120,4 +120,51 @@ def test_all_phones_in_texts(spark):
 def test_phones_are_permuted(spark):
     numbers = [f"({a}) 555-{b:04}" for a in ("017", "117", "217", "917") for b in range(60)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(numbers)], "doc_id long, text string")
-    assert len({r.text for r in P.with_pseudonyms(df).collect()}) == len(numbers)
+    assert len({r.text for r in P.with_pseudonyms(df, P.DEFAULT_KEY).collect()}) == len(numbers)
+
+
+def number_permutation(value, sizes, key, kind):
+    (x, y), (m, n) = divmod(value, sizes[1]), sizes
+    for r in range(1, P.ROUNDS + 1):
+        x, y, m, n = y, (x + int(digest(key, kind, r, y)[:12], 16)) % m, n, m
+    return x * sizes[1] + y
+
+
+def social_security(text, key):
+    area, group, serial = map(int, text.split("-"))
+    v = ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
+    v = number_permutation(v, (898 * 99, 9999), key, "ssn")
+    place = v // (99 * 9999)
+    return f"{place + 1 + (place >= 665):03d}-{v // 9999 % 99 + 1:02d}-{v % 9999 + 1:04d}"
+
+
+def test_social_security_numbers_stay_valid(spark):
+    rng = random.Random(8)
+    texts = [f"{rng.choice([*range(1, 666), *range(667, 900)]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}" for _ in range(3000)]
+    texts += ["583-67-9762", "001-01-0001", "899-99-9999", "665-01-0001", "667-99-9999"]
+    texts = list(dict.fromkeys(texts))
+    got = values(spark, texts)
+    assert got == [social_security(t, P.DEFAULT_KEY) for t in texts]
+    assert len(set(got)) == len(texts)
+    assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", v) for v in got)
+    assert values(spark, ["000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "123-45-0000"]) == [None] * 5
+
+
+def test_the_key_comes_from_the_session(spark):
+    assert P.session_key(spark) == P.DEFAULT_KEY
+    spark.conf.set(P.KEY_SETTING, "another")
+    try:
+        assert P.session_key(spark) == "another"
+    finally:
+        spark.conf.unset(P.KEY_SETTING)
+    df = spark.createDataFrame([(1, "call 212-555-0147")], "doc_id long, text string")
+    assert P.with_pseudonyms(df, "another").first().text != P.with_pseudonyms(df, P.DEFAULT_KEY).first().text
+
+
+def test_long_texts_and_repeated_rows(spark):
+    text = "mail bob.smith@example.org or 212-555-0147 on 2001-02-03, " * 2000
+    df = spark.createDataFrame([(1, text), (1, text), (2, "x" * 300_000)], "doc_id long, text string").selectExpr("*", "7 as found", "'y' as new", "3 as given")
+    out = P.with_pseudonyms(df, P.DEFAULT_KEY).orderBy("doc_id").collect()
+    assert out[0] == out[1] and out[2].text == "x" * 300_000 and (out[0].found, out[0].new, out[0].given) == (7, "y", 3)
+    one = values(spark, ["bob.smith@example.org", "212-555-0147", "2001-02-03"])
+    assert out[0].text == f"mail {one[0]} or {one[1]} on {one[2]}, " * 2000
