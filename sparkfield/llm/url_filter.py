@@ -97,7 +97,10 @@ def judge(pages: DataFrame, rules: DataFrame, bits_per_key: int = BITS_PER_KEY)
     held = passed.join(F.broadcast(exact) if n <= BROADCAST_RULES else exact, ["key_host", "key_path"])
     order = F.struct(F.length("key_host"), F.length("key_path"))
     best = held.groupBy(*KEY).agg(F.max_by(F.struct(F.concat("key_host", "key_path").alias("rule"), "verdict"), order).alias("best"))
-    out = parsed.join(best, KEY, "left")
+    # Written, so that a url on very many pages is split over tasks; what has no host is not joined at all.
+    best = common.written(best, "best")
+    unknown = parsed.where("host = ''").withColumn("best", F.lit(None).cast(best.schema["best"].dataType))
+    out = parsed.where("host <> ''").join(best, KEY, "left").unionByName(unknown)
     return out.select("page_id", *KEY, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
 
 
