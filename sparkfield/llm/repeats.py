@@ -297,8 +297,11 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, index_bytes:
     table = common.written(segments_of(docs, length, gram), "segments")
     rows = table.select(*TEXT, F.explode(F.arrays_zip("h", "s", "first", "last")).alias("x")).select(*TEXT, "x.*")
     counts = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("n > 1")
-    again = common.written(rows.join(counts.select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "h"), "recurring")
+    # Written, so that it is an exchange of its own in the join, whose hot anchors Spark then splits.
+    counts = common.written(counts.select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "counts")
+    again = common.written(rows.join(counts, "h"), "recurring")
     common.release(table)
+    common.release(counts)
     mixed = again.where("mixed")
     one = F.min(F.struct(*TEXT, "first", "last")).alias("x")
     distinct = mixed.groupBy("h", "s").agg(F.count("*").alias("n"), one).select("h", "s", "n", "x.*")
