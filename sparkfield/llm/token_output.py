@@ -2,17 +2,20 @@
 
 A volume holds the ids of a run of documents, in ascending ``doc_id`` order, as one
 concatenated array. Where each document ends is an Elias-Fano code of the running
-totals: about ``2 + log2(n_ids / n_docs)`` bits a document, with a sampled select
-directory, so that no table of 64-bit offsets is kept. The layout, little-endian:
+totals: about ``2 + log2(n_ids / n_docs)`` bits a document and one for the sampled select
+directory, so that no table of 64-bit offsets is kept. The documents' names ascend too, so
+they are coded in the same way. Reading takes both from select. The layout, little-endian:
 
-    magic "SFTV", u32 version, u64 n_docs, u64 n_ids, u32 low_bits, u32 id_bytes,
-    u32 bytes of low part, u32 bytes of high part, u32 select samples,
-    low part, high part, select samples (u64 each), ids (u16 or u32 each)
+    magic "SFTV", u32 version, u64 n_docs, u64 n_ids, u32 bytes an id,
+    u64 documents without name, i64 first name, u64 last name less the first,
+    code of the ends, code of the names, ids (u16 or u32 each)
 
-Volumes are rows of a Parquet table in shared storage (``volume``, ``first_doc``,
-``n_docs``, ``n_ids``, ``doc_ids``, ``payload``), which Spark commits as a whole and
-which every store that Spark writes to can hold; :func:`export` also puts them down
-as plain files.
+where a code is: low part, high part, select samples (u32 each), and the sizes of all three
+follow from the number of values, the largest one and ``SELECT_EVERY``.
+
+Volumes are rows of a Parquet table in shared storage (``first_doc``, ``n_docs``,
+``n_ids``, ``ids_before``, ``payload``), which Spark commits as a whole and which every store
+that Spark writes to can hold; :func:`export` also puts them down as plain files.
 
 Defined cases: a null or empty text is the end id alone; rows without ``doc_id`` come
 first; rows with the same ``doc_id`` are ordered by their text's hash and each keeps its own place;
@@ -31,83 +34,93 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-MAGIC, VERSION = b"SFTV", 1
-HEAD = struct.Struct("<4sIQQIIIII")
-SELECT_EVERY = 256
+MAGIC, VERSION = b"SFTV", 2
+HEAD = struct.Struct("<4sIQQIQqQ")
+SELECT_EVERY = 32
 VOLUME_IDS = 4_000_000  # a volume is closed at the first document that reaches this many ids
 
 
 class EliasFano:
     """Ascending integers in near-minimal space, with select through a sampled directory."""
 
-    def __init__(self, count: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray):
-        self.count, self.low_bits, self.low, self.high, self.samples = count, low_bits, low, high, samples
+    def __init__(self, count: int, universe: int, code: memoryview = memoryview(b"")):
+        """``code`` starts with that of ``count`` values from 0 to ``universe``, the last of them."""
+        self.count = count
+        self.low_bits = max(0, (universe // count).bit_length() - 1) if count else 0
+        n_low = -(-count * self.low_bits // 8)
+        n_high = (count + (universe >> self.low_bits) + 7) // 8 if count else 0
+        n_samples = -(-count // SELECT_EVERY)
+        self.size = n_low + n_high + 4 * n_samples
+        self.low, self.high = code[:n_low], code[n_low : n_low + n_high]
+        self.samples = np.frombuffer(bytes(code[n_low + n_high : self.size]), "<u4").tolist()
 
     @classmethod
-    def of(cls, values: np.ndarray, universe: int) -> EliasFano:
-        """``values`` ascend from 0 to ``universe`` at most."""
+    def encode(cls, values: np.ndarray, universe: int) -> bytes:
         values, n = np.asarray(values, np.uint64), len(values)
-        low_bits = max(0, (universe // n).bit_length() - 1) if n else 0
+        low_bits = cls(n, universe).low_bits
         bits = ((values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
         places = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(places[-1]) + 1 if n else 0, np.uint8)
         high[places] = 1
-        return cls(n, low_bits, np.packbits(bits.ravel(), bitorder="little"), np.packbits(high, bitorder="little"), places[::SELECT_EVERY].astype("<u8"))
-
-    def _low(self, k: np.ndarray) -> np.ndarray:
-        bit = k[:, None] * self.low_bits + np.arange(self.low_bits)
-        return (((self.low[bit >> 3] >> (bit & 7)) & 1).astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+        return b"".join((np.packbits(bits.ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes(), places[::SELECT_EVERY].astype("<u4").tobytes()))
 
     def select(self, k: int) -> int:
-        """The k-th value: from the sample before it, a scan of one stretch of the high part."""
-        place = int(self.samples[k // SELECT_EVERY])
-        left, byte = k % SELECT_EVERY, place >> 3
-        word = int(self.high[byte]) >> (place & 7) << (place & 7)
-        while left >= (ones := word.bit_count()):
-            left, byte = left - ones, byte + 1
-            word = int(self.high[byte])
-        for _ in range(left):
+        """The k-th value: from the sample before it, in the stretch of the high part up to the next one."""
+        sample = k // SELECT_EVERY
+        place = self.samples[sample]
+        first = place >> 3
+        last = self.samples[sample + 1] >> 3 if sample + 1 < len(self.samples) else len(self.high)
+        word = int.from_bytes(self.high[first : last + 1], "little") >> (place & 7)
+        for _ in range(k % SELECT_EVERY):
             word &= word - 1
-        place = 8 * byte + (word & -word).bit_length() - 1
-        return ((place - k) << self.low_bits) + int(self._low(np.array([k]))[0])
-
-    def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count]
-        k = np.arange(self.count)
-        return ((places - k) << self.low_bits) + self._low(k)
+        high = place + (word & -word).bit_length() - 1 - k
+        if not self.low_bits:
+            return high
+        bit = k * self.low_bits
+        low = int.from_bytes(self.low[bit >> 3 : (bit + self.low_bits + 7) >> 3], "little") >> (bit & 7)
+        return high << self.low_bits | low & (1 << self.low_bits) - 1
 
 
-def pack_volume(lengths: np.ndarray, ids: bytes) -> bytes:
-    """A volume's bytes; ``ids`` are little-endian 32-bit."""
+def pack_volume(names: list[int | None], lengths: np.ndarray, ids: bytes) -> bytes:
+    """A volume's bytes; ``names`` ascend, nulls first; ``ids`` are little-endian 32-bit."""
     ends = np.cumsum(lengths)
     array = np.frombuffer(ids, "<u4")
     wide = bool(len(array)) and int(array.max()) > 0xFFFF
-    ef = EliasFano.of(ends, int(ends[-1]) if len(ends) else 0)
-    head = HEAD.pack(MAGIC, VERSION, len(lengths), len(array), ef.low_bits, 4 if wide else 2, len(ef.low), len(ef.high), len(ef.samples))
-    return b"".join((head, ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes(), ids if wide else array.astype("<u2").tobytes()))
+    known = [x for x in names if x is not None]
+    first, span = (known[0], known[-1] - known[0]) if known else (0, 0)
+    deltas = np.array([x - first for x in known], np.uint64)
+    head = HEAD.pack(MAGIC, VERSION, len(names), len(array), 4 if wide else 2, len(names) - len(known), first, span)
+    return b"".join((head, EliasFano.encode(ends, len(array)), EliasFano.encode(deltas, span), ids if wide else array.astype("<u2").tobytes()))
 
 
 class Volume:
     """A packed volume, read in place."""
 
     def __init__(self, payload: bytes):
-        magic, version, n, self.n_ids, low_bits, width, n_low, n_high, n_select = HEAD.unpack_from(payload)
+        view = memoryview(payload)
+        magic, version, n, self.n_ids, width, self.nameless, self.first, span = HEAD.unpack_from(view)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token volume")
         at = HEAD.size
-        low = np.frombuffer(payload, np.uint8, n_low, at)
-        high = np.frombuffer(payload, np.uint8, n_high, at + n_low)
-        samples = np.frombuffer(payload, "<u8", n_select, at + n_low + n_high)
-        self.boundaries = EliasFano(n, low_bits, low, high, samples)
-        self.ids = np.frombuffer(payload, f"<u{width}", self.n_ids, at + n_low + n_high + 8 * n_select)
+        self.ends = EliasFano(n, self.n_ids, view[at:])
+        at += self.ends.size
+        self.names = EliasFano(n - self.nameless, span, view[at:])
+        at += self.names.size
+        self.ids = np.frombuffer(view, f"<u{width}", self.n_ids, at)
 
     def __len__(self) -> int:
-        return self.boundaries.count
+        return self.ends.count
+
+    def start(self, k: int) -> int:
+        """The ids of the volume before document k."""
+        return self.ends.select(k - 1) if k else 0
+
+    def name(self, k: int) -> int | None:
+        return None if k < self.nameless else self.first + self.names.select(k - self.nameless)
 
     def document(self, k: int) -> np.ndarray:
         """The ids of one document: two selects."""
-        start = self.boundaries.select(k - 1) if k else 0
-        return self.ids[start : self.boundaries.select(k)]
+        return self.ids[self.start(k) : self.ends.select(k)]
 
 
 def write_volumes(docs: DataFrame, vocabulary: str | None = None, volume_ids: int = VOLUME_IDS) -> DataFrame:
@@ -121,7 +134,7 @@ def write_volumes(docs: DataFrame, vocabulary: str | None = None, volume_ids: in
 
         def close() -> pd.DataFrame:
             lengths = np.array([len(p) // 4 for p in parts], np.int64)
-            row = {"first_doc": names[0], "doc_ids": list(names), "n_docs": len(parts), "n_ids": total, "ids_before": before, "payload": pack_volume(lengths, b"".join(parts))}
+            row = {"first_doc": names[0], "n_docs": len(parts), "n_ids": total, "ids_before": before, "payload": pack_volume(names, lengths, b"".join(parts))}
             return pd.DataFrame([row])
 
         for batch in common.slices(batches):
@@ -141,7 +154,7 @@ def write_volumes(docs: DataFrame, vocabulary: str | None = None, volume_ids: in
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
         .select("doc_id", "text")
     )
-    table = ordered.mapInPandas(volumes, "first_doc long, doc_ids array<long>, n_docs long, n_ids long, ids_before long, payload binary")
+    table = ordered.mapInPandas(volumes, "first_doc long, n_docs long, n_ids long, ids_before long, payload binary")
     table = table.withColumn("partition", F.spark_partition_id())
     return common.written(table, "volumes")
 
@@ -164,21 +177,17 @@ def read_documents(volumes: DataFrame) -> DataFrame:
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in common.slices(batches):
-            for names, start, payload in zip(batch["doc_ids"], batch["volume_start"], batch["payload"]):
-                volume = Volume(payload)
-                ends = volume.boundaries.all()
-                begins = np.concatenate(([0], ends[:-1]))
-                ids = volume.ids.astype("<u4")
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pd.array([None if x is None or x != x else int(x) for x in names], "Int64"),
-                        "start": begins + start,
-                        "n_tokens": ends - begins,
-                        "ids_crc32": [tokens.crc(memoryview(ids[a:b])) for a, b in zip(begins, ends)],
-                    }
-                )
-
-    return with_starts(volumes).select("doc_ids", "volume_start", "payload").mapInPandas(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for before, payload in zip(batch["volume_start"], batch["payload"]):
+                volume, end, rows, names = Volume(payload), 0, [], []
+                for k in range(len(volume)):
+                    start, end = end, volume.ends.select(k)
+                    names.append(volume.name(k))
+                    rows.append((start + before, end - start, tokens.crc(volume.ids[start:end].astype("<u4").tobytes())))
+                out = pd.DataFrame(rows, columns=["start", "n_tokens", "ids_crc32"])
+                out.insert(0, "doc_id", pd.array(names, "Int64"))
+                yield out
+
+    return with_starts(volumes).select("volume_start", "payload").mapInPandas(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def export(volumes: DataFrame, folder: str) -> list[str]:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -10,11 +11,26 @@ from sparkfield.llm import tokens
 
 @pytest.mark.parametrize("values", [[], [0], [0, 0, 0], [5, 5, 900, 901, 70000], list(range(0, 5000, 7)), [10**7] * 700])
 def test_elias_fano_round_trip(values):
-    ef = T.EliasFano.of(np.array(values, np.int64), values[-1] if values else 0)
-    assert ef.all().tolist() == values
+    last = values[-1] if values else 0
+    ef = T.EliasFano(len(values), last, memoryview(T.EliasFano.encode(np.array(values, np.uint64), last)))
     assert [ef.select(k) for k in range(len(values))] == values
 
 
+def test_a_code_takes_little_more_than_it_must():
+    values = np.cumsum(np.random.default_rng(1).integers(1, 2000, 10_000))
+    code = T.EliasFano.encode(values, int(values[-1]))
+    assert 8 * len(code) / len(values) < np.log2(values[-1] / len(values)) + 3.2
+    assert T.EliasFano(len(values), int(values[-1])).size == len(code)
+
+
+@pytest.mark.parametrize("names", [[None, None], [None, -5, -5, 0, 7], [-(2**63), 0, 2**63 - 1], [9] * 100, list(range(-300, 300, 3))])
+def test_names_and_ends(names):
+    lengths = np.arange(1, len(names) + 1)
+    volume = T.Volume(T.pack_volume(names, lengths, np.arange(lengths.sum(), dtype="<u4").tobytes()))
+    assert [volume.name(k) for k in range(len(volume))] == names
+    assert [len(volume.document(k)) for k in range(len(volume))] == lengths.tolist()
+
+
 def brute(rows):
     from tokenizers import Tokenizer
 
@@ -35,6 +51,17 @@ def test_volumes_match_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_any_text_matches_the_library():
+    rng = random.Random(3)
+    letters = "aB 1,.\n\n\té'%!\r\x0bЖ s"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(12))) for _ in range(30_000)]
+    texts += ["a\nb", "\n", "\n\n", "a\n", "\na", "a\n\nb", "a\n b", "'s a's\n's", "a\n.b", "\n\tb", "x%%%\n%%%", "it's!'s", "b !?'t"]
+    encode = tokens.Encoder(tokens.default_vocabulary(), 500)
+    assert sum(not tokens._in_doubt(t) for t in texts if t) > 10_000
+    for text, ids in zip(texts, encode(texts)):
+        assert ids == encode.whole(text), text
+
+
 def test_added_tokens_match_brute_force(spark):
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y, z", "a <|endoftext| > b", "汉 <|endoftext|> ", "after it"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
