@@ -19,16 +19,24 @@ AXES = ["x", "y", "z", "w"]
 def tile(elements: DataFrame, dims, by: list[str] | None = None) -> DataFrame:
     """One shuffle, on (field, block); each place is an aggregate of its own, combined before the shuffle.
 
-    Nulls, missing and repeated elements are refused: a block must have as many values as its shape says.
+    Nulls, missing and repeated elements and coordinates outside the field are refused: a block
+    must have one value at each place that its shape says. A block of which nothing is there has
+    no row; :func:`~sparkfield.operators.codec.encode` refuses fields that lack one.
     """
     dims = list(Shape.of(dims).active)
     rank, by = len(dims), by if by is not None else ["field_id"]
-    block, place = expr.block_index([F.col(a) for a in AXES[:rank]], dims)
-    rows = elements.select(*by, block.alias("block"), place.alias("place"), "value")
+    axes = [F.col(a) for a in AXES[:rank]]
+    inside = F.lit(True)
+    for a, n in zip(axes, dims):
+        inside = inside & F.coalesce(a.between(0, n - 1), F.lit(False))
+    block, place = expr.block_index(axes, dims)
+    value = F.when(inside, F.col("value")).otherwise(F.raise_error(F.lit("an element lies outside its field")))
+    rows = elements.select(*by, block.alias("block"), place.alias("place"), value.alias("value"))
     places = [F.max(F.when(F.col("place") == k, F.col("value"))).alias(f"v{k}") for k in range(4**rank)]
     if rank <= 2:
         grouped = rows.groupBy(*by, "block").agg(F.count("value").alias("n"), *places)
         padded = F.array(*expr.pad_block([F.col(f"v{k}") for k in range(4**rank)], rank))
+        there = F.size(F.filter(F.array(*[F.col(f"v{k}") for k in range(4**rank)]), lambda v: v.isNotNull()))
     else:
         pairs = F.sort_array(F.collect_list(F.struct("place", "value")))
         grouped = rows.groupBy(*by, "block").agg(F.count("value").alias("n"), pairs.alias("pairs"))
@@ -42,13 +50,14 @@ def tile(elements: DataFrame, dims, by: list[str] | None = None) -> DataFrame:
                 stride = stride * n
             return F.get(F.col("pairs"), at.cast("int"))["value"]
 
+        there = F.size(F.array_distinct(F.transform("pairs", lambda p: p["place"])))
         padded = F.transform(F.sequence(F.lit(0), F.lit(4**rank - 1)), source)
     lengths = expr.block_lengths(F.col("block"), dims)
     want = lengths[0]
     for n in lengths[1:]:
         want = want * n
     message = F.lit("a block has null, missing or repeated elements")
-    vals = F.when(F.col("n") == want, padded).otherwise(F.raise_error(message))
+    vals = F.when((F.col("n") == want) & (there == want), padded).otherwise(F.raise_error(message))
     return grouped.select(*by, "block", vals.alias("vals"))
 
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,6 +24,7 @@ from ..functions import expr
 from ..schema import Scalar, Shape, scalar
 from . import kernels
 from .blocks import AXES
+from .walk import block_lengths
 from .header import Header, read_header, write_header
 
 CHUNK_BLOCKS = 4096
@@ -63,55 +65,91 @@ def chunk_of(block: Column, blocks: int, chunk_blocks: int) -> Column:
     return F.floor(((block + 1) * chunks - 1) / blocks).cast("bigint")
 
 
+def flat_values(lists: pa.Array, size: int, dtype: str) -> np.ndarray:
+    """A list column as a matrix with ``size`` columns, without a Python object a value."""
+    flat = lists.flatten()
+    if flat.null_count or lists.null_count or len(flat) != size * len(lists) or (len(lists) and (np.diff(lists.offsets.to_numpy()) != size).any()):
+        raise ValueError(f"a block needs {size} values and no nulls")
+    return flat.to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(-1, size)
+
+
 def encode(blocks: DataFrame, kind: str | Scalar, dims, cfg: Config, by: list[str] | None = None, chunk_blocks: int = CHUNK_BLOCKS) -> DataFrame:
-    """Block table (by.., block, vals) -> chunk table. One shuffle, on (field, chunk); the result does not depend on partitioning."""
+    """Block table (by.., block, vals) -> chunk table. One shuffle, on (field, chunk); the result does not depend on partitioning.
+
+    A chunk that lacks one of its blocks, or has one twice, is refused.
+    """
     kind, shape = scalar(kind), Shape.of(dims)
     by = by if by is not None else ["field_id"]
     key = [*by, "chunk_id"]
+    chunks = max(1, -(-shape.blocks // chunk_blocks))
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, numbers, values = None, [], []
 
-        def chunk() -> pd.DataFrame:
-            bits, sizes = _limited(np.array(values, kind.dtype), kind, shape.rank, cfg)
-            row = dict(zip(key, name)) | {"first_block": numbers[0], "n_blocks": len(numbers), "nbits": int(sizes.sum()), "block_nbits": sizes.astype(np.int32), "payload": pack(bits)}
-            return pd.DataFrame([row])
+        def chunk() -> pa.RecordBatch:
+            number, c = np.concatenate(numbers), name["chunk_id"][0].as_py()
+            first, stop = shape.blocks * c // chunks, shape.blocks * (c + 1) // chunks
+            if len(number) != stop - first or (number != np.arange(first, stop)).any():
+                raise ValueError(f"chunk {c} must have the blocks {first} to {stop - 1}, each once")
+            bits, sizes = _limited(np.concatenate(values), kind, shape.rank, cfg)
+            columns = {
+                "chunk_id": pa.array([c], pa.int64()),
+                "first_block": pa.array([first], pa.int64()),
+                "n_blocks": pa.array([len(number)], pa.int32()),
+                "nbits": pa.array([int(sizes.sum())], pa.int64()),
+                "block_nbits": pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.array(sizes.astype(np.int32))),
+                "payload": pa.array([pack(bits)], pa.binary()),
+            }
+            return pa.RecordBatch.from_pydict({b: name[b] for b in by} | columns)
 
         for batch in batches:
-            for *new, number, vals in zip(*[batch[c] for c in key], batch["block"], batch["vals"]):
-                if new != name:
-                    if numbers:
-                        yield chunk()
-                    name, numbers, values = new, [], []
-                numbers.append(int(number))
-                values.append(vals)
+            if not batch.num_rows:
+                continue
+            matrix = flat_values(batch.column("vals"), 4**shape.rank, kind.dtype)
+            number = batch.column("block").to_numpy()
+            change = np.zeros(batch.num_rows, bool)
+            for c in key:
+                column = batch.column(c).to_numpy(zero_copy_only=False)
+                change[1:] |= column[1:] != column[:-1]
+            cut = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+            for low, high in zip(cut, cut[1:]):
+                new = {c: batch.column(c).slice(low, 1) for c in key}
+                if name is not None and any(not new[c].equals(name[c]) for c in key):
+                    yield chunk()
+                    numbers, values = [], []
+                name = new
+                numbers.append(number[low:high])
+                values.append(matrix[low:high])
         if numbers:
             yield chunk()
 
     rows = blocks.withColumn("chunk_id", chunk_of(F.col("block"), shape.blocks, chunk_blocks)).select(*key, "block", "vals")
     rows = rows.repartition(*key).sortWithinPartitions(*key, "block")
     names = _fields(blocks.schema, by)
-    return rows.mapInPandas(each, f"{names}, {CHUNKS}" if names else CHUNKS)
+    return rows.mapInArrow(each, f"{names}, {CHUNKS}" if names else CHUNKS)
 
 
 def decode(chunks: DataFrame, kind: str | Scalar, dims, cfg: Config, by: list[str] | None = None) -> DataFrame:
     """Chunk table -> block table. Every chunk by itself, no shuffle."""
     kind, rank = scalar(kind), Shape.of(dims).rank
     by = by if by is not None else ["field_id"]
+    size = 4**rank
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for *name, first, sizes, payload in zip(*[batch[c] for c in by], batch["first_block"], batch["block_nbits"], batch["payload"]):
-                at = np.concatenate(([0], np.cumsum(np.asarray(sizes, np.int64))[:-1]))
-                values = _decoded(unpack(payload), at, kind, rank, cfg)
-                out = pd.DataFrame({"block": first + np.arange(len(values)), "vals": list(values)})
-                for k, c in enumerate(by):
-                    out.insert(k, c, [name[k]] * len(out))
-                yield out
+            firsts, sizes_, payloads = (batch.column(c) for c in ("first_block", "block_nbits", "payload"))
+            for k in range(batch.num_rows):
+                sizes = sizes_[k].values.to_numpy().astype(np.int64)
+                at = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes
+                values = _decoded(unpack(payloads[k].as_buffer()), at, kind, rank, cfg)
+                n, first = len(values), firsts[k].as_py()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, size * n + 1, size, dtype=np.int32)), pa.array(np.ascontiguousarray(values).reshape(-1)))
+                names = {c: batch.column(c).take(pa.array(np.full(n, k))) for c in by}
+                yield pa.RecordBatch.from_pydict(names | {"block": pa.array(first + np.arange(n, dtype=np.int64)), "vals": lists})
 
     names = _fields(chunks.schema, by)
     schema = f"block long, vals array<{kind.sql}>"
-    return chunks.select(*by, "first_block", "block_nbits", "payload").mapInPandas(each, f"{names}, {schema}" if names else schema)
+    return chunks.select(*by, "first_block", "block_nbits", "payload").mapInArrow(each, f"{names}, {schema}" if names else schema)
 
 
 def decode_box(chunks: DataFrame, kind: str | Scalar, dims, cfg: Config, box: list[tuple[int, int]], by: list[str] | None = None) -> DataFrame:
@@ -194,12 +232,7 @@ def walk(stream: bytes, start: int, kind: Scalar, shape: Shape, cfg: Config) ->
     """Bits of each block of a stream."""
     if cfg.min_bits == cfg.max_bits and cfg.block_bits(kind, shape.rank) == cfg.max_bits:
         return np.full(shape.blocks, cfg.max_bits, np.int64)
-    bits, at, sizes = unpack(stream), start, []
-    for _ in range(shape.blocks):
-        n = int(kernels.decode_blocks(bits, np.array([at]), kind, shape.rank, cfg)[1][0])
-        sizes.append(n)
-        at += n
-    return np.array(sizes, np.int64)
+    return block_lengths(stream, start, kind, shape.rank, shape.blocks, cfg)
 
 
 def open_stream(streams: DataFrame, by: list[str], kind: str | Scalar | None = None, dims=None, cfg: Config | None = None, rounding: str = "never", chunk_blocks: int = CHUNK_BLOCKS) -> DataFrame:

@@ -46,6 +46,27 @@ def test_chunks_do_not_depend_on_partitions(spark, dims):
     assert (np.array([r.vals for r in tiled]) == gathered).all()
 
 
+@pytest.mark.parametrize("dims", DIMS)
+@pytest.mark.parametrize("spoil", ["missing", "missing block", "repeated", "repeated and missing", "outside", "null", "null place"])
+def test_incomplete_fields_are_refused(spark, dims, spoil):
+    elements = long_form(spark, np.arange(np.prod(dims), dtype=float), dims, "f64")
+    one = F.col("value") == 1
+    first = F.lit(True)
+    for a, n in zip(B.AXES, dims):
+        first = first & ((F.col(a) >= 4) & (F.col(a) < 8) if n > 8 else F.col(a) < 4)
+    spoilt = {
+        "missing": elements.where(~one),
+        "missing block": elements.where(~first),
+        "repeated": elements.unionByName(elements.where(one)),
+        "repeated and missing": elements.where("value <> 2").unionByName(elements.where(one)),
+        "outside": elements.withColumn("x", F.when(one, F.lit(dims[0])).otherwise(F.col("x"))),
+        "null": elements.withColumn("value", F.when(~one, F.col("value"))),
+        "null place": elements.withColumn("x", F.when(~one, F.col("x"))),
+    }[spoil]
+    with pytest.raises(Exception, match="elements|outside|each once"):
+        codec.encode(B.tile(spoilt, dims), "f64", dims, Config.reversible(), chunk_blocks=5).collect()
+
+
 @pytest.mark.parametrize("kind", ["i32", "i64", "f32", "f64"])
 def test_streams_round_trip(spark, kind):
     dims = (9, 7)
