@@ -3,8 +3,10 @@
 An archive is a run of WARC records in order. Its manifest has one leaf a record: place,
 offset range, SHA-256. Up to ``FANOUT`` neighbouring nodes form a parent, whose hash
 covers its offset range and its children's hashes, up to one root. Two replicas are
-compared from the root down, and only below nodes that differ, so that sound branches
-are never looked at and each damaged record is located by its offset range.
+compared from the root down, and only below nodes that differ, so that each damaged
+record is located by its offset range. A level lies in order of its nodes; up to ``LISTED``
+differing parents become ranges in the scan's filter, so that Parquet's statistics keep
+sound stretches of a level from being read. More of them than that are joined.
 
 Hashing reads each record once where it lies; only digests, lengths and ids are moved.
 Ordinals and offsets come in two levels, within a range of ids and across the ranges'
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 
 FANOUT = 64
+LISTED = 256
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -112,6 +115,15 @@ def tree(leaves: DataFrame) -> list[DataFrame]:
     return levels
 
 
+def children_of(parents: list[int]) -> Column:
+    """The ids below some nodes, as ranges."""
+    out, parents = F.lit(False), sorted(parents)
+    cut = [k for k in range(len(parents)) if not k or parents[k] != parents[k - 1] + 1]
+    for a, b in zip(cut, [*cut[1:], len(parents)]):
+        out = out | F.col("id").between(parents[a] * FANOUT, (parents[b - 1] + 1) * FANOUT - 1)
+    return out
+
+
 def differing(one: list[DataFrame], other: list[DataFrame]) -> DataFrame:
     """The leaves' ids at which two trees differ, found by descent from the roots."""
     height = max(len(one), len(other))
@@ -121,6 +133,9 @@ def differing(one: list[DataFrame], other: list[DataFrame]) -> DataFrame:
         b = other[min(k, len(other) - 1)] if k < len(other) else other[-1].limit(0)
         sides = [t.select("id", F.col("hash").alias(h)) for t, h in ((a, "ha"), (b, "hb"))]
         if bad is not None:
+            few = bad.limit(LISTED + 1).collect()
+            if len(few) <= LISTED:
+                sides = [s.where(children_of([r.id for r in few])) for s in sides]
             up = bad.withColumnRenamed("id", "up")
             sides = [s.withColumn("up", F.floor(F.col("id") / FANOUT)).join(up, "up", "left_semi").drop("up") for s in sides]
         bad = common.written(sides[0].join(sides[1], "id", "full").where(~F.col("ha").eqNullSafe(F.col("hb"))).select("id"), "differing")
@@ -141,8 +156,8 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
 
 
 def aged_copy(pages: DataFrame) -> DataFrame:
-    """A replica with bit rot in about one record of sixteen, chosen by content: its first ``<`` has become ``;``."""
-    hit = F.substring(F.md5("html"), 1, 1) == "0"
+    """A replica with bit rot in about one record of 256, chosen by content: its first ``<`` has become ``;``."""
+    hit = F.substring(F.md5("html"), 1, 2) == "00"
     return pages.withColumn("html", F.when(hit, F.regexp_replace("html", "^([^<]*)<", "$1;")).otherwise(F.col("html")))
 
 
@@ -164,6 +179,6 @@ WITH made AS (
 SELECT page_id,
        CAST(coalesce(sum(strlen(r)) OVER (ORDER BY page_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
        strlen(r) AS length, sha256(r) AS digest,
-       CASE WHEN md5(body) LIKE '0%' AND contains(body, '<') THEN 'damaged' ELSE 'intact' END AS status
+       CASE WHEN md5(body) LIKE '00%' AND contains(body, '<') THEN 'damaged' ELSE 'intact' END AS status
 FROM made
 """

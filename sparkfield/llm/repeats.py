@@ -117,9 +117,9 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class RunIndex:
-    """The runs of the transform, sampled at both ends.
+    """The run-length transform: a byte and a length a run, sampled at both ends.
 
-    ``heads`` and ``tails`` are the text positions of the suffixes at the first and last
+    :meth:`rank`, :meth:`step` and :meth:`count` work on the runs alone. ``heads`` and ``tails`` are the text positions of the suffixes at the first and last
     place of each run, with the length of the common prefix with the suffix before
     (after) them. Positions right after a segment's start always are samples.
     """
@@ -134,6 +134,9 @@ class RunIndex:
         change = np.concatenate(([True], (before[1:] != before[:-1]) | unique[1:] | unique[:-1], [True]))
         self.size, self.runs = n, int(change[:-1].sum())
         head, tail = np.flatnonzero(change[:-1]), np.flatnonzero(change[1:])
+        self.run_starts, self.run_bytes, self.run_lengths = head, np.where(unique[head], -1, before[head]), tail - head + 1
+        self.below = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=256))))  # suffixes that start with a smaller byte
+        self._runs_of: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.heads = order[head], self._common(text, ends, order, head, head - 1)
         self.tails = order[tail], self._common(text, ends, order, tail, tail + 1)
 
@@ -158,6 +161,29 @@ class RunIndex:
             some, p, q, room = some[go], p[go] + step, q[go] + step, room[go]
         return out
 
+    def rank(self, byte: int, place: int) -> int:
+        """How often ``byte`` stands in the transform before ``place``."""
+        if byte not in self._runs_of:
+            own = self.run_bytes == byte
+            lengths = self.run_lengths[own]
+            self._runs_of[byte] = self.run_starts[own], lengths, np.cumsum(lengths) - lengths
+        starts, lengths, before = self._runs_of[byte]
+        k = int(np.searchsorted(starts, place, side="right")) - 1
+        return 0 if k < 0 else int(before[k] + min(place - starts[k], lengths[k]))
+
+    def step(self, byte: int, low: int, high: int) -> tuple[int, int]:
+        """From the places of the suffixes that start with a string to those that start with ``byte`` and the string."""
+        return int(self.below[byte]) + self.rank(byte, low), int(self.below[byte]) + self.rank(byte, high)
+
+    def count(self, pattern: bytes) -> int:
+        """How often a pattern without zero bytes occurs in the segments."""
+        low, high = 0, self.size
+        for byte in reversed(pattern):
+            low, high = self.step(byte, low, high)
+            if low >= high:
+                return 0
+        return high - low
+
     def _stream(self, samples: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         place, value = samples
         order = np.argsort(place, kind="stable")

@@ -28,6 +28,34 @@ def test_damage_is_located(spark, monkeypatch):
     assert M.audit(M.manifest(p), M.manifest(hurt)).where("status = 'intact'").count() < 70
 
 
+def test_sound_stretches_are_not_read(spark, monkeypatch):
+    monkeypatch.setattr(M, "FANOUT", 4)
+    p = pages(spark, 60)
+    one = M.manifest(p)
+    other = one.withColumn("digest", F.when(F.col("record_id").isin(17, 41), F.lit("rot")).otherwise(F.col("digest")))
+    filters = []
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    written = M.common.written
+
+    def seen(df, name, **options):
+        if name == "differing":
+            filters.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name, **options)
+
+    monkeypatch.setattr(M.common, "written", seen)
+    bad = M.differing(M.tree(one), M.tree(other))
+    assert sorted(r.id for r in bad.collect()) == [17, 41]
+    assert "GreaterThanOrEqual(id,16)" in filters[-1] and "LessThanOrEqual(id,43)" in filters[-1]
+    monkeypatch.setattr(M, "LISTED", 0)
+    assert sorted(r.id for r in M.differing(M.tree(one), M.tree(other)).collect()) == [17, 41]
+
+
+def test_very_long_records(spark):
+    p = spark.createDataFrame([(1, "u", "<p>" * 300_000), (2, "v", "")], "page_id long, url string, html string").selectExpr("*", "9 as start", "9 as digest")
+    out = M.audit(M.manifest(p), M.manifest(p)).orderBy("record_id").collect()
+    assert [r.status for r in out] == ["intact"] * 2 and out[1].start == out[0].length > 900_000
+
+
 def test_lengths_differ(spark, monkeypatch):
     monkeypatch.setattr(M, "FANOUT", 4)
     p = pages(spark, 30)

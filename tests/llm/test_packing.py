@@ -31,6 +31,30 @@ def test_plan_is_near_the_bound():
     assert n <= 1.01 * bound
 
 
+def brute_pieces(rows):
+    from tokenizers import Tokenizer
+
+    model, out = Tokenizer.from_file(tokens.default_vocabulary()), []
+    for doc, text in rows:
+        ids = [*(model.encode(text, add_special_tokens=False).ids if text else []), 2]
+        at, end = 0, (len(ids) - 1) % 1024 + 1
+        while at < len(ids):
+            out.append((doc, at, end - at, zlib.crc32(np.array(ids[at:end], "<u4").tobytes())))
+            at, end = end, end + 1024
+    return sorted(out, key=str)
+
+
+def test_pack_against_the_library_and_the_bound(spark):
+    """All documents of a table: pieces as the plain library call gives them, in few sequences."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    rows += [(10**6, "a <|endoftext|> b"), (10**6 + 1, "x\n\ny  z \n"), (10**6 + 2, "long " * 40_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as piece", "2 as length", "3 as bucket", "4 as at")
+    out = P.pack(df).collect()
+    assert sorted([(r.doc_id, r.start, r.length, r.ids_crc32) for r in out], key=str) == brute_pieces(rows)
+    bound = -(-sum(r.length for r in out) // 1024)
+    assert len({r.sequence_id for r in out}) <= 1.02 * bound
+
+
 def test_pack_is_whole_and_gapless(spark):
     texts = ["", None, "a b c", "word " * 5000, "same text", "same text", "x" * 3000]
     rows = [(i, t) for i, t in enumerate(texts * 20)] + [(None, "no id"), (3, "a b c")]

@@ -1,10 +1,9 @@
-import numpy as np
-
 import corpus_pipeline
-from sparkfield.llm import quality, tokens
+from sparkfield.llm import tokens
 
 from .test_decontaminate import brute as leaks
 from .test_jaccard import brute as parts
+from .test_quality import kept_by_hand
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,10 +11,7 @@ SF = "/root/testdata/sf0.001"
 def survivors(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    measured = [quality.measure(t) for _, t in docs]
-    votes, counts = np.unique([m[-1] for m in measured], return_counts=True)
-    good = dict(zip(votes, quality.LabelModel.fit(list(votes), counts).posterior(list(votes))))
-    docs = [d for d, m in zip(docs, measured) if m[0] >= 50 and 100 * m[4] <= 50 * m[0] and good[m[-1]] >= 0.5]
+    docs = [d for d, kept in zip(docs, kept_by_hand([t for _, t in docs])) if kept]
     part = {d: c for d, _, c in parts(docs, 5, 80)}
     docs = [d for d in docs if part[d[0]] == d[0]]
     return {r[0] for r in leaks(docs, items) if not r[-1]}
@@ -40,6 +36,19 @@ def test_run(spark):
         assert sum(r.length for r in out if r.doc_id == d) == len(encode([docs[d].text])[0]) // 4 + 1
 
 
+def test_nulls_repeats_long_texts_and_clashing_columns(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    rows += [(None, None), (-1, ""), (None, rows[0][1]), rows[1], (-2, " ".join(f"{a} {b}." for a, b in zip(rows[2][1].split() * 40, rows[3][1].split() * 60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as row", "2 as q", "'x' as votes", "3 as r1", "4 as sketch", "5 as h", "6 as new")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+        docs = corpus_pipeline.common.written(out, "stage")
+    ids = [r.doc_id for r in docs.where("piece = 0").collect()]
+    assert len(ids) == len(set(ids)) and -1 not in ids and None not in ids
+
+
 def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -41,6 +42,61 @@ def test_em_finds_the_good_rules():
     assert abs(model.prior - 0.8) < 0.05
 
 
+def votes_by_hand(text):
+    """The rules from their descriptions, without the operator's code."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    if not words:
+        return [0] * 10
+    n, (_, chars, symbols, dup, repeat) = len(words), brute(text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    letters = re.findall("[A-Za-z]", text)
+    odd = [c for c in text if ord(c) < 128 and not re.match(r"[A-Za-z\x20\x09-\x0D]", c)]
+    plain = [w for w in text.split() if w.rstrip(".,;:!?").isalpha()]
+    stops = [x for x in lines if re.search(r"[.!?:;\"')]$", x.rstrip(" \t\r\v\f"))]
+    shares = [
+        (symbols / n, 0.10, None), (dup / len(lines), 0.30, None), (repeat / n, 0.30, None),
+        (len(re.findall("[A-Z]", text)) / max(len(letters), 1), 0.30, None),
+        (len(re.findall("[!?,;]", text)) / n, 0.50, None), (len(odd) / chars, 0.12, 0.06),
+        (1 - len(plain) / n, 0.30, 0.10), (1 - len(stops) / len(lines), 0.80, None),
+        (1 - len(set(words)) / n, 0.85, None), (abs(chars / n - 5), 3.5, None),
+    ]
+    return [-1 if v > bad else 1 if good is not None and v <= good else 0 for v, bad, good in shares]
+
+
+def kept_by_hand(texts, rounds=200):
+    """Expectation-maximisation document by document, in plain Python."""
+    votes = [votes_by_hand(t) for t in texts]
+    accuracy, prior = [0.8] * 10, 0.5
+    last = None
+    for step in range(rounds + 1):
+        good = []
+        for v in votes:
+            odds = math.log(prior / (1 - prior)) + sum(x * math.log(a / (1 - a)) for x, a in zip(v, accuracy))
+            good.append(1 / (1 + math.exp(-odds)))
+        if last is not None and max(abs(a - b) for a, b in zip(good, last)) < 1e-9:
+            break
+        last = good
+        for k in range(10):
+            right = sum(g if v[k] > 0 else 1 - g for g, v in zip(good, votes) if v[k])
+            cast = sum(1 for v in votes if v[k])
+            accuracy[k] = min(max((right + 8) / (cast + 10), 0.55), 0.99)
+        prior = min(max((sum(good) + 1) / (len(good) + 2), 0.05), 0.95)
+    out = []
+    for t, g in zip(texts, good):
+        n, _, _, _, repeat = brute(t)
+        out.append(n >= 50 and 100 * repeat <= 50 * n and g >= 0.5)
+    return out
+
+
+def test_kept_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rows += [(10**6 + k, t) for k, t in enumerate([None, "", "one", "LOUD WORDS! " * 40, "a # b % c " * 30, "word " * 200, "Fine words of a sentence go here. " * 2, rows[0][1]])]
+    got = {r.doc_id: r.kept for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(zip([d for d, _ in rows], kept_by_hand([t for _, t in rows])))
+
+
 def test_agrees_with_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

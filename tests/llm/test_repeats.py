@@ -26,6 +26,16 @@ def brute(rows, length):
     return sorted(out, key=str)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=40).map(lambda b: bytes(97 + x % 2 for x in b)), min_size=1, max_size=6), st.binary(min_size=1, max_size=5))
+def test_runs_count_patterns(segments, pattern):
+    pattern = bytes(97 + x % 2 for x in pattern)
+    raw = np.frombuffer(b"\x00".join(segments) + b"\x00", np.uint8)
+    index = R.RunIndex(raw, np.cumsum([len(s) + 1 for s in segments]) - 1)
+    assert index.count(pattern) == sum(s.startswith(pattern, k) for s in segments for k in range(len(s)))
+    assert index.run_lengths.sum() == len(raw) and len(index.run_bytes) == index.runs
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.binary(min_size=1, max_size=40).map(lambda b: bytes(97 + x % 2 for x in b)), min_size=1, max_size=6))
 def test_matching_statistics(segments):
