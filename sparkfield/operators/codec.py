@@ -45,8 +45,8 @@ def _limited(values: np.ndarray, kind: Scalar, rank: int, cfg: Config) -> tuple[
     return np.concatenate([b for b, _ in parts]), np.concatenate([n for _, n in parts])
 
 
-def _decoded(bits: np.ndarray, at: np.ndarray, kind: Scalar, rank: int, cfg: Config) -> np.ndarray:
-    step = max(1, BATCH_VALUES // 4**rank)
+def _decoded(payload, at: np.ndarray, kind: Scalar, rank: int, cfg: Config) -> np.ndarray:
+    step, bits = max(1, BATCH_VALUES // 4**rank), kernels.Bits(payload)
     parts = [kernels.decode_blocks(bits, at[k : k + step], kind, rank, cfg)[0] for k in range(0, len(at), step)]
     return np.concatenate(parts) if parts else np.zeros((0, 4**rank), kind.dtype)
 
@@ -141,7 +141,7 @@ def decode(chunks: DataFrame, kind: str | Scalar, dims, cfg: Config, by: list[st
             for k in range(batch.num_rows):
                 sizes = sizes_[k].values.to_numpy().astype(np.int64)
                 at = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes
-                values = _decoded(unpack(payloads[k].as_buffer()), at, kind, rank, cfg)
+                values = _decoded(payloads[k].as_buffer(), at, kind, rank, cfg)
                 n, first = len(values), firsts[k].as_py()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, size * n + 1, size, dtype=np.int32)), pa.array(np.ascontiguousarray(values).reshape(-1)))
                 names = {c: batch.column(c).take(pa.array(np.full(n, k))) for c in by}
@@ -287,11 +287,26 @@ def encode_values(values: np.ndarray, kind: Scalar, dims: tuple[int, ...], cfg:
     return data + bytes(-len(data) % 8)
 
 
+def encode_rows(matrix: np.ndarray, kind: Scalar, cfg: Config) -> list[bytes]:
+    """A 1-D stream of each row, all rows' blocks coded together."""
+    rows, n = matrix.shape
+    starts = np.arange(0, n, 4)
+    places = np.concatenate([first + kernels.padded_source(min(4, n - first)) for first in starts.tolist()])
+    bits, sizes = _limited(matrix[:, places].reshape(-1, 4).astype(kind.dtype), kind, 1, cfg)
+    used = sizes.reshape(rows, len(starts)).sum(axis=1)
+    whole = -(-used // 64) * 64
+    begin = np.cumsum(whole) - whole
+    spread = np.zeros(int(whole.sum()), np.uint8)
+    spread[np.arange(len(bits)) + np.repeat(begin - (np.cumsum(used) - used), used)] = bits
+    data = pack(spread)
+    return [data[a // 8 : (a + w) // 8] for a, w in zip(begin.tolist(), whole.tolist())]
+
+
 def decode_values(stream: bytes, kind: Scalar, dims: tuple[int, ...], cfg: Config) -> np.ndarray:
     shape = Shape.of(dims)
     sizes = walk(stream, 0, kind, shape, cfg)
     out = np.zeros(shape.elements, kind.dtype)
-    kernels.scatter(_decoded(unpack(stream), np.concatenate(([0], np.cumsum(sizes)[:-1])), kind, shape.rank, cfg), shape.active, 0, out)
+    kernels.scatter(_decoded(stream, np.concatenate(([0], np.cumsum(sizes)[:-1])), kind, shape.rank, cfg), shape.active, 0, out)
     return out
 
 
@@ -300,7 +315,13 @@ def encode_arrays(column: str | Column, kind: str | Scalar, cfg: Config) -> Colu
     kind = scalar(kind)
 
     def each(arrays: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or not len(a) else encode_values(np.asarray(a), kind, (len(a),), cfg) for a in arrays])
+        out: list = [None] * len(arrays)
+        lengths = np.array([0 if a is None else len(a) for a in arrays])
+        for n in np.unique(lengths[lengths > 0]).tolist():
+            rows = np.flatnonzero(lengths == n)
+            for i, stream in zip(rows, encode_rows(np.stack(arrays.iloc[rows].to_list()), kind, cfg)):
+                out[i] = stream
+        return pd.Series(out)
 
     return F.pandas_udf(each, "binary")(column)
 
@@ -313,9 +334,8 @@ def decode_arrays(stream: str | Column, length: str | Column, kind: str | Scalar
         out: list = [None] * len(streams)
         rows = [i for i, (s, n) in enumerate(zip(streams, lengths)) if s is not None and n == n and n]
         at = {i: 0 for i in rows}
-        bits = [unpack(streams.iloc[i]) for i in rows]
-        base = dict(zip(rows, np.concatenate(([0], np.cumsum([len(b) for b in bits])[:-1])).astype(np.int64))) if rows else {}
-        flat = np.concatenate(bits) if rows else np.zeros(1, np.uint8)
+        base = dict(zip(rows, 8 * np.concatenate(([0], np.cumsum([len(streams.iloc[i]) for i in rows])[:-1])).astype(np.int64))) if rows else {}
+        flat = kernels.Bits(b"".join(streams.iloc[i] for i in rows))
         parts: dict[int, list] = {i: [] for i in rows}
         live = list(rows)
         while live:

@@ -391,6 +391,54 @@ def reversible_custkey(spark, d):
     return B.untile(codec.decode(chunks, "i64", dims, MODES["reversible"], by=[]), dims, by=[])
 
 
+@query(
+    "reversible_rank4",
+    "SELECT o_orderkey % 5 AS x, o_orderkey // 5 % 7 AS y, o_orderkey // 35 % 6 AS z, o_orderkey // 210 AS w, o_totalprice AS value FROM orders WHERE o_orderkey < 1470",
+)
+def reversible_rank4(spark, d):
+    """A four-dimensional field with partial blocks on all axes, out to chunks and back."""
+    dims, k = (5, 7, 6, 7), F.col("o_orderkey")
+    places = [(F.floor(k / step) % n).cast("bigint").alias(a) for a, step, n in zip(B.AXES, (1, 5, 35, 210), dims)]
+    elements = S.table(spark, d, "orders").where(k < 1470).select(*places, F.col("o_totalprice").alias("value"))
+    chunks = codec.encode(B.tile(elements, dims, by=[]), "f64", dims, MODES["reversible"], by=[], chunk_blocks=5)
+    return B.untile(codec.decode(chunks, "f64", dims, MODES["reversible"], by=[]), dims, by=[])
+
+
+@query("sql_exact_i64", "SELECT o_orderkey, 9007199254740993 + o_orderkey * 1000003 AS value FROM orders")
+def sql_exact_i64(spark, d):
+    """64-bit integers that doubles do not hold, through the SQL functions of their type, 61 a stream."""
+    registry.register(spark)
+    c = MODES["reversible"]
+    cfg = f"{c.min_bits}, {c.max_bits}, {c.max_prec}, {c.min_exp}"
+    some = F.sort_array(F.collect_list(F.struct("o_orderkey", (F.lit(9007199254740993) + F.col("o_orderkey") * 1000003).alias("value"))))
+    rows = S.table(spark, d, "orders").groupBy(F.floor(F.col("o_orderkey") / 61)).agg(some.alias("s"))
+    rows = rows.select(F.col("s.o_orderkey").alias("k"), F.expr("s.value").alias("v")).withColumn("stream", F.expr(f"field_encode('i64', v, {cfg})"))
+    back = rows.withColumn("back", F.expr(f"field_decode_i64(stream, size(v), {cfg})"))
+    return back.select(F.inline(F.arrays_zip("k", "back"))).toDF("o_orderkey", "value")
+
+
+@query(
+    "sql_metadata",
+    "SELECT p_partkey, 3 | 4 | ((p_size - 1)::BIGINT << 4) | (p_partkey::BIGINT << 28) AS word, 'f64' AS kind, p_size::BIGINT AS nx, p_partkey::BIGINT + 1 AS ny,"
+    " ceil(p_size / 4.0)::BIGINT * ceil((p_partkey + 1) / 4.0)::BIGINT AS blocks, p_size::BIGINT * (p_partkey + 1) AS elements FROM part",
+)
+def sql_metadata(spark, d):
+    """Metadata words of two-dimensional fields, and back, all in inlined SQL macros."""
+    registry.register(spark)
+    dims = F.array(F.col("p_size").cast("bigint"), F.col("p_partkey").cast("bigint") + 1)
+    rows = S.table(spark, d, "part").select("p_partkey", dims.alias("dims")).withColumn("word", F.expr("field_metadata('f64', dims)"))
+    return rows.selectExpr(
+        "p_partkey", "word", "field_metadata_type(word) AS kind", "field_metadata_dims(word)[0] AS nx", "field_metadata_dims(word)[1] AS ny", "field_blocks(dims) AS blocks", "field_elements(dims) AS elements"
+    )
+
+
+@query("sql_full_blocks", "SELECT o_orderkey, 4 * (o_orderkey % 48 % 6) + 4 <= 22 AND 4 * (o_orderkey % 48 // 6) + 4 <= 30 AS is_full FROM orders")
+def sql_full_blocks(spark, d):
+    """Which blocks of a 22 by 30 field have no padding."""
+    registry.register(spark)
+    return S.table(spark, d, "orders").selectExpr("o_orderkey", "field_block_is_full(o_orderkey % 48, array(22L, 30L)) AS is_full")
+
+
 @query("box_of_embeddings", f"SELECT x::BIGINT AS x, vec_id::BIGINT AS y, value FROM ({_EMB}) WHERE x BETWEEN 5 AND 17 AND vec_id BETWEEN 30 AND 90")
 def box_of_embeddings(spark, d):
     dims = (64, S.table(spark, d, "embeddings").count())

@@ -174,3 +174,32 @@ def test_queries_agree_with_sql(spark):
         names = ", ".join(df.columns)
         want = con.execute(f"SELECT {names} FROM ({catalogue.ORACLES[name]})").fetchall()
         assert sorted(map(tuple, df.collect())) == sorted(want), name
+
+
+def test_sql_functions_of_each_type(spark):
+    registry.register(spark)
+    cfg = "1, 16658, 64, -1075"
+    big = [9007199254740993, -(2**63), 2**63 - 1, 5, 7]
+    df = spark.createDataFrame([(big,)], "v array<bigint>")
+    row = df.selectExpr(f"field_encode('i64', v, {cfg}) AS s", f"field_encode_block('i64', slice(v, 1, 4), {cfg}) AS b").selectExpr(
+        f"field_decode_i64(s, 5, {cfg}) AS all", f"field_decode_block_i64(b, 1, {cfg}) AS block", f"field_bits_consumed(s, 'i64', array(5L), {cfg}) AS n", "8 * length(s) AS most"
+    ).first()
+    assert row["all"] == big and row.block == big[:4] and row.most - 64 < row.n <= row.most
+    with pytest.raises(Exception, match="field_decode_i64"):
+        df.selectExpr(f"field_decode(field_encode('i64', v, {cfg}), 'i64', 5, {cfg})").collect()
+    word = spark.sql("SELECT field_metadata('i32', array(9L, 7L, 6L, 3L)) AS w").first().w
+    shape = spark.sql(f"SELECT field_metadata_type({word}L) AS t, field_metadata_dims({word}L) AS d").first()
+    assert (shape.t, shape.d) == ("i32", [9, 7, 6, 3])
+    from sparkfield.schema import metadata_word
+
+    assert word == metadata_word("i32", (9, 7, 6, 3))
+
+
+def test_arrays_of_many_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=n).tolist()) for k, n in enumerate([1, 3, 4, 5, 64, 3, 4, 4, 200, 0])] + [(99, None)]
+    cfg = Config.fixed_precision(30)
+    df = spark.createDataFrame(rows, "k long, v array<double>").withColumn("s", codec.encode_arrays("v", "f64", cfg))
+    for r in df.collect():
+        want = codec.encode_values(np.array(r.v), scalar("f64"), (len(r.v),), cfg) if r.v else None
+        assert (bytes(r.s) if r.s is not None else None) == want
