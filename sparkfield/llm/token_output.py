@@ -18,7 +18,7 @@ Volumes are rows of a Parquet table in shared storage (``first_doc``, ``n_docs``
 that Spark writes to can hold; :func:`export` also puts them down as plain files.
 
 Defined cases: a null or empty text is the end id alone; rows without ``doc_id`` come
-first; rows with the same ``doc_id`` are ordered by their text's hash and each keeps its own place;
+first; rows with the same ``doc_id`` are in the order of the table's files and each keeps its own place;
 an empty table gives no volumes; other columns are ignored.
 """
 
@@ -149,9 +149,9 @@ def write_volumes(docs: DataFrame, vocabulary: str | None = None, volume_ids: in
             yield close()
 
     ordered = (
-        docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-        .repartitionByRange(common.partitions(spark), F.col("doc_id").asc_nulls_first(), "h")
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
+        docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place"))
+        .repartitionByRange(common.partitions(spark), F.col("doc_id").asc_nulls_first(), "place")
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "place")
         .select("doc_id", "text")
     )
     table = ordered.mapInPandas(volumes, "first_doc long, n_docs long, n_ids long, ids_before long, payload binary")

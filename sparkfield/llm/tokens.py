@@ -20,7 +20,7 @@ from . import common
 
 END_ID = 2
 END = np.array([END_ID], "<u4").tobytes()
-MEMO_ENTRIES = 600_000  # of a generation of the memo, some 200 bytes each; two are kept
+MEMO_ENTRIES = 700_000  # of a generation of the memo, some 200 bytes each; two are kept
 TEXTS_AT_ONCE = 256
 
 # What is left of a text without its visible ASCII, spaces, tabs and line feeds must be two-byte characters.
