@@ -179,10 +179,11 @@ def read_documents(volumes: DataFrame) -> DataFrame:
         for batch in common.slices(batches):
             for before, payload in zip(batch["volume_start"], batch["payload"]):
                 volume, end, rows, names = Volume(payload), 0, [], []
+                ids = memoryview(volume.ids.astype("<u4", copy=False))
                 for k in range(len(volume)):
                     start, end = end, volume.ends.select(k)
                     names.append(volume.name(k))
-                    rows.append((start + before, end - start, tokens.crc(volume.ids[start:end].astype("<u4").tobytes())))
+                    rows.append((start + before, end - start, tokens.crc(ids[start:end])))
                 out = pd.DataFrame(rows, columns=["start", "n_tokens", "ids_crc32"])
                 out.insert(0, "doc_id", pd.array(names, "Int64"))
                 yield out

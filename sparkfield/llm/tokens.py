@@ -20,7 +20,7 @@ from . import common
 
 END_ID = 2
 END = np.array([END_ID], "<u4").tobytes()
-MEMO_ENTRIES = 700_000  # of a generation of the memo, some 200 bytes each; two are kept
+MEMO_ENTRIES = 450_000  # of a generation of the memo, some 200 bytes each; two are kept
 TEXTS_AT_ONCE = 256
 
 # What is left of a text without its visible ASCII, spaces, tabs and line feeds must be two-byte characters.
@@ -92,24 +92,27 @@ class Encoder:
         return self.marks[run]
 
     def _learn(self, missing: set[str]) -> None:
-        words: dict[str, set[str]] = {" ": set(filter(str.isalpha, missing)), "\n": set()}
+        plain = set(filter(str.isalpha, missing))
+        words: dict[str, list[str]] = {" ": list(plain), "\n": []}
         marked, other = [], []
-        for c in missing - words[" "]:
+        for c in missing - plain:
             core = c.rstrip(MARKS)
             if core.isalpha():
-                words[" "].add(core)
                 marked.append((c, core))
             elif core[:1] == "\n" and core[1:].isalpha():
-                words["\n"].add(core)
                 if len(core) < len(c):
                     marked.append((c, core))
+                else:
+                    words["\n"].append(c)
             elif c[:1] == "\n":
                 self.chunks[c] = self.whole(c)
             else:
                 other.append(c)
-        for mark, some in words.items():
+        cores = self._unknown({core for _, core in marked}.difference(self.chunks, missing))
+        words["\n"] += [c for c in cores if c[0] == "\n"]
+        words[" "] += [c for c in cores if c[0] != "\n"]
+        for mark, todo in words.items():
             self.words.pre_tokenizer = self.cut[mark]
-            todo = list(self._unknown(some.difference(self.chunks)))
             for k in range(0, len(todo), WORDS_AT_ONCE):
                 part = todo[k : k + WORDS_AT_ONCE]
                 joined = "".join(part) if mark == "\n" else " " + " ".join(part)

@@ -100,7 +100,7 @@ def judge(pages: DataFrame, rules: DataFrame, bits_per_key: int = BITS_PER_KEY)
     # Written, so that a url on very many pages is split over tasks; what has no host is not joined at all.
     best = common.written(best, "best")
     unknown = parsed.where("host = ''").withColumn("best", F.lit(None).cast(best.schema["best"].dataType))
-    out = parsed.where("host <> ''").join(best, KEY, "left").unionByName(unknown)
+    out = parsed.where("host <> ''").join(best.hint("merge"), KEY, "left").unionByName(unknown)
     return out.select("page_id", *KEY, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
 
 
