@@ -15,13 +15,15 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import common
 
 END_ID = 2
 END = np.array([END_ID], "<u4").tobytes()
 MEMO_ENTRIES = 600_000  # of a generation of the memo, some 200 bytes each; two are kept
-TEXTS_AT_ONCE = 256
+CHARS_AT_ONCE = 4_000_000
 
 # What is left of a text without its visible ASCII, spaces, tabs and line feeds must be two-byte characters.
 _USUAL = bytes([9, 10, *range(0x20, 0x7F)])
@@ -127,33 +129,47 @@ class Encoder:
         out: list = [b""] * len(texts)
         if len(self.chunks) > self.memo_entries:
             self.before, self.chunks = self.chunks, {}
-        get = self.chunks.get
-        plain, heads, missing = [], [], set()
+        plain = []
         for i, text in enumerate(texts):
             if not text:
                 continue
             if _in_doubt(text) or any(t in text for t in self.added):
                 out[i] = self.whole(text)
-                continue
-            head, *tail = text.replace("\n", " \n").split(" ")
-            ids = list(map(get, tail))
-            gaps = []
-            if None in ids:
-                gaps = [k for k, v in enumerate(ids) if v is None]
-                tail = [tail[k] for k in gaps]
-                missing.update(tail)
-            plain.append((i, ids, gaps, tail))
-            heads.append(head)
-        if missing := self._unknown(missing):
+            else:
+                plain.append(i)
+        if not plain:
+            return out
+        split = pc.split_pattern(pa.array([texts[i].replace("\n", " \n") for i in plain], pa.large_string()), " ")
+        first, words = split.offsets.to_numpy()[:-1], split.values
+        tail = np.ones(len(words), bool)
+        tail[first] = False
+        heads = self.model.encode_batch_fast(words.take(pa.array(first)).to_pylist(), add_special_tokens=False)
+        # A batch's words are numbered, so that each distinct one is looked up once.
+        numbered = words.filter(pa.array(tail)).dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        if missing := self._unknown(set(distinct).difference(self.chunks)):
             self._learn(missing)
-        for (i, ids, gaps, tail), head in zip(plain, self.model.encode_batch_fast(heads, add_special_tokens=False)):
-            for k, v in zip(gaps, map(get, tail)):
-                ids[k] = v
-            out[i] = np.array(head.ids, "<u4").tobytes() + b"".join(ids)
+        codes = list(map(self.chunks.__getitem__, distinct))
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        number = numbered.indices.to_numpy()
+        length, ends = sizes[number], np.concatenate(([0], np.cumsum(sizes[number])))
+        place = np.repeat((np.cumsum(sizes) - sizes)[number] - ends[:-1], length) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(codes), "<u4")[place].tobytes()
+        cut = (4 * ends[np.append(first, len(words)) - np.arange(len(plain) + 1)]).tolist()
+        for i, head, a, b in zip(plain, heads, cut, cut[1:]):
+            out[i] = np.array(head.ids, "<u4").tobytes() + ids[a:b]
         return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        return [ids for k in range(0, len(texts), TEXTS_AT_ONCE) for ids in self.some(texts[k : k + TEXTS_AT_ONCE])]
+        out: list[bytes] = []
+        some, chars = [], 0
+        for text in texts:
+            some.append(text)
+            chars += len(text or "")
+            if chars >= CHARS_AT_ONCE:
+                out += self.some(some)
+                some, chars = [], 0
+        return out + self.some(some)
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
