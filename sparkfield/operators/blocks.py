@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import InvalidDims
 from ..functions import expr
 from ..schema import Shape
 
@@ -84,6 +85,44 @@ def strided(elements: DataFrame, shape: Shape) -> DataFrame:
     return elements.withColumn("index", index)
 
 
+def scatter_strided(elements: DataFrame, shape: Shape, by: list[str] | None = None) -> DataFrame:
+    """Elements -> the buffer that a layout writes (by.., index, value). No shuffle.
+
+    A layout in which two elements may share a place is refused, as the last one written would win.
+    """
+    if shape.may_alias():
+        raise InvalidDims(f"strides {shape.effective_strides} may put two elements of {shape.active} in one place")
+    return strided(elements, shape).select(*(by if by is not None else ["field_id"]), "index", "value")
+
+
+def gather_strided(buffer: DataFrame, shape: Shape, by: list[str] | None = None) -> DataFrame:
+    """A buffer (by.., index, value), counted from the lowest place that the layout reaches -> its elements.
+
+    Places in the gaps of the layout are dropped. Coordinates follow from the index, from the
+    longest stride down, so nothing is joined. Where elements may share a place, each place
+    gives a row for each of them, and the layout's places are joined by index.
+    """
+    by = by if by is not None else ["field_id"]
+    axes = AXES[: shape.rank]
+    if shape.may_alias():
+        places = buffer.sparkSession.range(shape.elements)
+        rest, coords = F.col("id"), []
+        for a, n in zip(axes, shape.active):
+            coords.append((rest % n).alias(a))
+            rest = F.floor(rest / n)
+        return buffer.join(strided(places.select(*coords), shape), "index").select(*by, *axes, "value")
+    rest, coord = F.col("index").cast("bigint"), {}
+    for stride, n, a in sorted(zip(shape.effective_strides, shape.active, axes), key=lambda x: -abs(x[0])):
+        if n == 1:
+            coord[a] = F.lit(0).cast("bigint")
+            continue
+        steps = F.least(F.floor(rest / abs(stride)), F.lit(n - 1)).cast("bigint")
+        rest = rest - steps * abs(stride)
+        coord[a] = steps if stride > 0 else n - 1 - steps
+    out = buffer.where((F.col("index") >= 0) & (rest == 0))
+    return out.select(*by, *[coord[a].alias(a) for a in axes], "value")
+
+
 def grid(spark, dims) -> DataFrame:
     """All blocks of a shape: block, its coordinates and lengths."""
     shape = Shape.of(dims)

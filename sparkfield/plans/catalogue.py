@@ -457,6 +457,48 @@ def stream_round_trip(spark, d):
     return B.untile(codec.decode(again.where("error IS NULL"), "f64", dims, cfg, by=[]), dims, by=[])
 
 
+_LAYOUT = "SELECT x, y, z, 2 * (6 - x) + 21 * y + 21 * 5 * z AS i FROM range(7) a(x), range(5) b(y), range((SELECT count(*) // 105 FROM orders)) c(z)"
+
+
+@query("strided_gather", f"SELECT x, y, z, o_totalprice AS value FROM ({_LAYOUT}) JOIN orders ON o_orderkey = i")
+def strided_gather(spark, d):
+    """A three-dimensional field that runs backwards along x and leaves gaps, out of the price column as a buffer."""
+    orders = S.table(spark, d, "orders")
+    shape = Shape.of((7, 5, orders.count() // 105), (-2, 21, 105))
+    return B.gather_strided(orders.select(F.col("o_orderkey").alias("index"), F.col("o_totalprice").alias("value")), shape, by=[])
+
+
+@query("strided_scatter", f"SELECT i AS index, o_totalprice AS value FROM ({_LAYOUT}) JOIN orders ON o_orderkey = x + 7 * y + 35 * z")
+def strided_scatter(spark, d):
+    """The price column, tiled, coded without loss, decoded, and written through a layout with gaps."""
+    orders, cfg = S.table(spark, d, "orders"), MODES["reversible"]
+    shape = Shape.of((7, 5, orders.count() // 105), (-2, 21, 105))
+    k = F.col("o_orderkey")
+    places = [(F.floor(k / step) % n).cast("bigint").alias(a) for a, step, n in zip(B.AXES, (1, 7, 35), shape.active)]
+    elements = orders.where(k < shape.elements).select(*places, F.col("o_totalprice").alias("value"))
+    chunks = codec.encode(B.tile(elements, shape.active, by=[]), "f64", shape.active, cfg, by=[])
+    back = B.untile(codec.decode(chunks, "f64", shape.active, cfg, by=[]), shape.active, by=[])
+    return B.scatter_strided(back, shape, by=[])
+
+
+@query("sql_bits", "SELECT o_orderkey, (o_custkey::BIGINT << 20 | o_orderkey) AS put, o_custkey::BIGINT & 255 AS low, 128::BIGINT AS nbits FROM orders")
+def sql_bits(spark, d):
+    """Two keys written side by side at odd bit positions of a stream and read back, in inlined SQL macros."""
+    registry.register(spark)
+    rows = S.table(spark, d, "orders").withColumn("s", F.expr("field_put_bits(field_put_bits(X'', 13, CAST(o_orderkey AS BIGINT), 20), 33, CAST(o_custkey AS BIGINT), 40)"))
+    return rows.selectExpr("o_orderkey", "field_bits(s, 13, 60) AS put", "field_bits(s, 33, 8) AS low", "field_capacity(field_pad(s)) AS nbits")
+
+
+@query("sql_strided_blocks", "SELECT vec_id, x, CASE WHEN x % 4 < 3 AND x // 4 % 4 < 3 AND x < 48 THEN embedding[x + 1] ELSE 0::FLOAT END AS value FROM embeddings, range(64) t(x)")
+def sql_strided_blocks(spark, d):
+    """A partial 3 by 3 by 3 block of every embedding, coded from its strided places and put into an empty buffer."""
+    registry.register(spark)
+    c = MODES["reversible"]
+    cfg, part = f"{c.min_bits}, {c.max_bits}, {c.max_prec}, {c.min_exp}", "0, array(3, 3, 3), array(1, 4, 16)"
+    rows = S.table(spark, d, "embeddings").withColumn("b", F.expr(f"field_encode_block_strided('f32', embedding, {part}, {cfg})"))
+    return rows.withColumn("back", F.expr(f"field_decode_block_strided_f32(b, array_repeat(CAST(0 AS FLOAT), 64), {part}, {cfg})")).select("vec_id", F.posexplode("back").alias("x", "value")).withColumn("x", F.col("x").cast("bigint"))
+
+
 @query("array_streams", "SELECT vec_id, 0::BIGINT AS wrong FROM embeddings")
 def array_streams(spark, d):
     """Every embedding as a stream of its own, and how many of its values come back changed."""

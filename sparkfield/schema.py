@@ -83,6 +83,19 @@ class Shape:
         out.validate()
         return out
 
+    def reshaped(self, dims, n_bytes: int | None = None, size: int = 1) -> Shape:
+        """Other dimensions and natural strides; refused where ``n_bytes`` do not hold them. This shape stays as it is."""
+        return self._checked(Shape(four(dims)), n_bytes, size)
+
+    def restrided(self, strides, n_bytes: int | None = None, size: int = 1) -> Shape:
+        """The same dimensions through other strides."""
+        return self._checked(Shape(self.dims, four(strides)), n_bytes, size)
+
+    @staticmethod
+    def _checked(shape: Shape, n_bytes: int | None, size: int) -> Shape:
+        shape.validate(n_bytes, size)
+        return shape
+
     @property
     def rank(self) -> int:
         return rank_of(self.dims)
