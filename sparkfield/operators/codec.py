@@ -5,6 +5,7 @@ its row says which blocks, how many bits, and how many each block took, so that
 decodes by itself. :func:`assemble` joins a field's chunks bit by bit into the one stream
 that other readers of the format expect, and :func:`open_stream` cuts such a stream into
 chunks again: by arithmetic where all blocks have one size, by one walk over it otherwise.
+:func:`assemble_parts` and :func:`open_parts` do the same for streams too long for one value.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from ..functions import expr
 from ..schema import Scalar, Shape, scalar
 from . import kernels
 from .blocks import AXES
-from .walk import block_lengths
+from .walk import block_lengths, most_bits
 from .header import Header, read_header, write_header
 
 CHUNK_BLOCKS = 4096
@@ -51,14 +52,50 @@ def _decoded(payload, at: np.ndarray, kind: Scalar, rank: int, cfg: Config) -> n
     return np.concatenate(parts) if parts else np.zeros((0, 4**rank), kind.dtype)
 
 
-def unpack(payload: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(payload, np.uint8), bitorder="little")
-
-
 def pack(bits: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def cut_bits(stream, low: int, high: int) -> bytes:
+    """Bits ``low`` to ``high`` of a buffer, moved to bit 0, with zeros up to a whole byte."""
+    shift, n = low & 7, high - low
+    raw = np.frombuffer(stream, np.uint8, -(-high // 8) - (low >> 3), low >> 3)
+    if shift:
+        out = raw >> np.uint8(shift)
+        out[:-1] |= raw[1:] << np.uint8(8 - shift)
+    else:
+        out = raw.copy()
+    out = out[: -(-n // 8)]
+    if n & 7:
+        out[-1] &= (1 << (n & 7)) - 1
+    return out.tobytes()
+
+
+class Joiner:
+    """Pieces of a stream one behind the other, in whole words; of what came before, only the last word begun is kept."""
+
+    def __init__(self, bits: int = 0, n: int = 0):
+        self.head, self.word, self.n = (bits & (1 << n // 64 * 64) - 1).to_bytes(n // 64 * 8, "little"), bits >> n // 64 * 64, n % 64
+
+    def add(self, payload, n: int) -> bytes:
+        """The words that are full now that the first ``n`` bits of ``payload`` follow."""
+        words = np.zeros(-(-n // 64) + 1, "<u8")
+        words.view(np.uint8)[: -(-n // 8)] = np.frombuffer(payload, np.uint8)[: -(-n // 8)]
+        if n % 64:
+            words[n // 64] &= np.uint64((1 << n % 64) - 1)
+        if self.n:
+            over = words[:-1] >> np.uint64(64 - self.n)
+            words <<= np.uint64(self.n)
+            words[1:] |= over
+            words[0] |= np.uint64(self.word)
+        whole, self.n = divmod(self.n + n, 64)
+        self.word, head, self.head = int(words[whole]), self.head, b""
+        return head + words[:whole].tobytes()
+
+    def close(self) -> bytes:
+        return self.head + (self.word.to_bytes(8, "little") if self.n else b"")
+
+
 def chunk_of(block: Column, blocks: int, chunk_blocks: int) -> Column:
     """Chunks of nearly one size: chunk i has the blocks from ``blocks * i // chunks``."""
     chunks = max(1, -(-blocks // chunk_blocks))
@@ -192,47 +229,98 @@ def stream_sizes(chunks: DataFrame, by: list[str] | None = None, capacity: int |
     return out.withColumn("error", F.when(F.col("bytes") > F.lit(capacity), error).cast(ERROR))
 
 
+def _joined(batches: Iterator[pa.RecordBatch], by: list[str], head: int, head_bits: int) -> Iterator[tuple[dict, bool, bytes]]:
+    """Of sorted chunks: name, whether the stream ends here, the next words of it."""
+    name, out = None, None
+    for batch in batches:
+        payloads = batch.column("payload")
+        for k, n in enumerate(batch.column("nbits").to_pylist()):
+            new = {c: batch.column(c).slice(k, 1) for c in by}
+            if name is None or any(not new[c].equals(name[c]) for c in by):
+                if name is not None:
+                    yield name, True, out.close()
+                # A name of its own, as a slice holds its batch.
+                name, out = {c: pa.array(v.to_pylist(), v.type) for c, v in new.items()}, Joiner(head, head_bits)
+            yield name, False, out.add(payloads[k].as_buffer(), n)
+    if name is not None:
+        yield name, True, out.close()
+
+
 def assemble(chunks: DataFrame, by: list[str], kind: str | Scalar, dims, cfg: Config, header: tuple[str, ...] = ()) -> DataFrame:
     """Each field's stream as other readers expect it: header, then all blocks without gaps, in whole words.
 
-    A stream is one value, so it is as long as one value can be; it is put together in one task, chunk by chunk.
+    A stream is one value, so it is as long as one value can be, and a task holds it whole;
+    :func:`assemble_parts` is for longer ones.
     """
     head, head_bits = write_header(cfg, kind, dims, header) if header else (0, 0)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, out, spare = None, bytearray(), np.zeros(0, np.uint8)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = bytearray()
+        for name, done, words in _joined(batches, by, head, head_bits):
+            stream += words
+            if done:
+                yield pa.RecordBatch.from_pydict(name | {"stream": pa.array([stream], pa.binary())})
+                stream = bytearray()
 
-        def start() -> tuple[bytearray, np.ndarray]:
-            bits = np.array([head >> k & 1 for k in range(head_bits)], np.uint8)
-            whole = len(bits) // 8 * 8
-            return bytearray(pack(bits[:whole])), bits[whole:]
+    return _in_order(chunks, by).mapInArrow(each, f"{_fields(chunks.schema, by)}, stream binary")
 
-        def close() -> pd.DataFrame:
-            done = bytes(out) + pack(spare)
-            return pd.DataFrame([dict(zip(by, name)) | {"stream": done + bytes(-len(done) % 8)}])
 
-        for batch in batches:
-            for *new, nbits, payload in zip(*[batch[c] for c in by], batch["nbits"], batch["payload"]):
-                if new != name:
-                    if name is not None:
-                        yield close()
-                    name, (out, spare) = new, start()
-                bits = np.concatenate((spare, unpack(payload)[:nbits]))
-                whole = len(bits) // 8 * 8
-                out += pack(bits[:whole])
-                spare = bits[whole:]
-        if name is not None:
-            yield close()
-
-    rows = chunks.select(*by, "chunk_id", "nbits", "payload").repartition(*by).sortWithinPartitions(*by, "chunk_id")
-    return rows.mapInPandas(each, f"{_fields(chunks.schema, by)}, stream binary")
-
-
-def walk(stream: bytes, start: int, kind: Scalar, shape: Shape, cfg: Config) -> np.ndarray:
+def assemble_parts(chunks: DataFrame, by: list[str], kind: str | Scalar, dims, cfg: Config, header: tuple[str, ...] = ()) -> DataFrame:
+    """The streams of :func:`assemble` in parts (by.., part, words), whole words each, to be read in the order of ``part``.
+
+    One task a field puts them together, and holds one chunk at a time.
+    """
+    head, head_bits = write_header(cfg, kind, dims, header) if header else (0, 0)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = 0
+        for name, done, words in _joined(batches, by, head, head_bits):
+            yield pa.RecordBatch.from_pydict(name | {"part": pa.array([part], pa.int64()), "words": pa.array([words], pa.binary())})
+            part = 0 if done else part + 1
+
+    return _in_order(chunks, by).mapInArrow(each, f"{_fields(chunks.schema, by)}, part long, words binary")
+
+
+def _in_order(chunks: DataFrame, by: list[str]) -> DataFrame:
+    return chunks.select(*by, "chunk_id", "nbits", "payload").repartition(*by).sortWithinPartitions(*by, "chunk_id")
+
+
+def lengths_of(stream, start: int, kind: Scalar, rank: int, blocks: int, cfg: Config) -> np.ndarray:
+    """Bits of each of ``blocks`` blocks of a stream from bit ``start`` on."""
+    if cfg.min_bits == cfg.max_bits and cfg.block_bits(kind, rank) == cfg.max_bits:
+        return np.full(blocks, cfg.max_bits, np.int64)
+    return block_lengths(stream, start, kind, rank, blocks, cfg)
+
+
+def walk(stream, start: int, kind: Scalar, shape: Shape, cfg: Config) -> np.ndarray:
     """Bits of each block of a stream."""
-    if cfg.min_bits == cfg.max_bits and cfg.block_bits(kind, shape.rank) == cfg.max_bits:
-        return np.full(shape.blocks, cfg.max_bits, np.int64)
-    return block_lengths(stream, start, kind, shape.rank, shape.blocks, cfg)
+    return lengths_of(stream, start, kind, shape.rank, shape.blocks, cfg)
+
+
+OPENED = pa.schema(
+    [
+        ("chunk_id", pa.int64()),
+        ("first_block", pa.int64()),
+        ("n_blocks", pa.int32()),
+        ("nbits", pa.int64()),
+        ("block_nbits", pa.list_(pa.int32())),
+        ("payload", pa.binary()),
+        ("scalar_type", pa.string()),
+        ("dims", pa.list_(pa.int64())),
+        ("mode_word", pa.int64()),
+        ("error", pa.struct([("kind", pa.string()), ("required", pa.int64()), ("capacity", pa.int64())])),
+    ]
+)
+OPENED_SQL = f"{CHUNKS}, scalar_type string, dims array<long>, mode_word long, error {ERROR}"
+
+
+def _opened(name: dict, row: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(name | {f.name: pa.array([row.get(f.name)], f.type) for f in OPENED})
+
+
+def _common(head: Header, shape: Shape, config: Config) -> dict:
+    word = config.mode_word()[0]
+    return {"scalar_type": head.kind.name, "dims": list(head.dims), "mode_word": word - 2**64 if word >= 2**63 else word}
 
 
 def open_stream(streams: DataFrame, by: list[str], kind: str | Scalar | None = None, dims=None, cfg: Config | None = None, rounding: str = "never", chunk_blocks: int = CHUNK_BLOCKS) -> DataFrame:
@@ -242,39 +330,104 @@ def open_stream(streams: DataFrame, by: list[str], kind: str | Scalar | None = N
     row with an error instead of chunks, and so does a header that cannot be read.
     """
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunks_of(name: dict, stream) -> Iterator[pa.RecordBatch]:
+        try:
+            head = read_header(bytes(stream[:MOST_HEADER])) if kind is None else Header(0, scalar(kind), Shape.of(dims).active, cfg)
+            shape, config = Shape.of(head.dims), head.config.with_rounding(rounding)
+            common = _common(head, shape, config)
+            sizes = walk(stream, head.bits, head.kind, shape, config)
+        except ValueError as e:
+            yield _opened(name, {"error": {"kind": type(e).__name__, "required": None, "capacity": len(stream)}})
+            return
+        need = -(-(head.bits + int(sizes.sum())) // 64) * 8
+        if need > len(stream) // 8 * 8:
+            yield _opened(name, common | {"error": {"kind": "Truncated", "required": need, "capacity": len(stream)}})
+            return
+        low, chunks = head.bits, max(1, -(-shape.blocks // chunk_blocks))
+        for i in range(chunks):
+            a, b = shape.blocks * i // chunks, shape.blocks * (i + 1) // chunks
+            n = int(sizes[a:b].sum())
+            yield _opened(name, common | {"chunk_id": i, "first_block": a, "n_blocks": b - a, "nbits": n, "block_nbits": sizes[a:b].astype(np.int32), "payload": cut_bits(stream, low, low + n)})
+            low += n
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, stream in enumerate(batch.column("stream")):
+                yield from chunks_of({c: batch.column(c).slice(k, 1) for c in by}, memoryview(stream.as_buffer()))
+
+    return streams.select(*by, "stream").mapInArrow(each, f"{_fields(streams.schema, by)}, {OPENED_SQL}")
+
+
+MOST_HEADER = 32  # bytes that a header never exceeds
+
+
+class _Opening:
+    """One stream that comes in parts: its chunks as soon as their words are there."""
+
+    def __init__(self, name: dict, known: Header | None, rounding: str, chunk_blocks: int):
+        self.name, self.head, self.rounding, self.chunk_blocks = name, known, rounding, chunk_blocks
+        self.buffer, self.at, self.read, self.chunk, self.shape, self.failed = bytearray(), 0, 0, 0, None, False
+
+    def more(self, words, last: bool = False) -> Iterator[pa.RecordBatch]:
+        self.read += len(words)
+        if self.failed:
+            return
+        self.buffer += words
+        if self.shape is None and (last or len(self.buffer) >= MOST_HEADER):
+            try:
+                self.head = self.head or read_header(bytes(self.buffer[:MOST_HEADER]))
+                self.shape, self.config = Shape.of(self.head.dims), self.head.config.with_rounding(self.rounding)
+                self.common = _common(self.head, self.shape, self.config)
+            except ValueError as e:
+                self.failed = type(e).__name__
+            else:
+                self.at, self.chunks = self.head.bits, max(1, -(-self.shape.blocks // self.chunk_blocks))
+                self.most = most_bits(self.head.kind, self.shape.rank, self.config)
+        while self.shape is not None and not self.failed and self.chunk < self.chunks:
+            a, b = self.shape.blocks * self.chunk // self.chunks, self.shape.blocks * (self.chunk + 1) // self.chunks
+            if not last and self.at + (b - a) * self.most > 8 * len(self.buffer):
+                break
+            sizes = lengths_of(self.buffer, self.at, self.head.kind, self.shape.rank, b - a, self.config)
+            end = self.at + int(sizes.sum())
+            if -(-end // 64) * 8 > len(self.buffer) // 8 * 8:
+                self.failed, self.need = "Truncated", self.read - len(self.buffer) + -(-end // 64) * 8
+                break
+            yield _opened(self.name, self.common | {"chunk_id": self.chunk, "first_block": a, "n_blocks": b - a, "nbits": end - self.at, "block_nbits": sizes.astype(np.int32), "payload": cut_bits(bytes(self.buffer[self.at // 8 : -(-end // 8)]), self.at % 8, end - self.at // 8 * 8)})
+            self.chunk += 1
+            gone = end // 64 * 8
+            del self.buffer[:gone]
+            self.at = end - 8 * gone
+        if self.shape is not None and not self.failed and self.chunk == self.chunks:
+            self.buffer.clear()
+        if last and self.failed:
+            error = {"kind": self.failed, "required": self.need if self.failed == "Truncated" else None, "capacity": self.read}
+            yield _opened(self.name, (self.common if self.failed == "Truncated" else {}) | {"error": error})
+
+
+def open_parts(parts: DataFrame, by: list[str], kind: str | Scalar | None = None, dims=None, cfg: Config | None = None, rounding: str = "never", chunk_blocks: int = CHUNK_BLOCKS) -> DataFrame:
+    """Streams in parts (by.., part, words) -> the chunk table of :func:`open_stream`, spread over tasks again.
+
+    One task a field walks its stream, and holds the parts of one chunk at a time. So the chunks
+    before the place where a stream ends early are there, beside the row with the error, whose
+    ``required`` goes up to the end of the first chunk that is not whole.
+    """
+    known = None if kind is None else Header(0, scalar(kind), Shape.of(dims).active, cfg)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opening = None
         for batch in batches:
-            for *name, stream in zip(*[batch[c] for c in by], batch["stream"]):
-                rows = []
-                try:
-                    head = read_header(stream) if kind is None else Header(0, scalar(kind), Shape.of(dims).active, cfg)
-                    shape, config = Shape.of(head.dims), head.config.with_rounding(rounding)
-                    sizes = walk(stream, head.bits, head.kind, shape, config)
-                    need = -(-(head.bits + int(sizes.sum())) // 64) * 8
-                    common = {"scalar_type": head.kind.name, "dims": list(head.dims), "mode_word": config.mode_word()[0], "error": None}
-                    if need > len(stream) // 8 * 8:
-                        rows.append(common | {"error": {"kind": "Truncated", "required": need, "capacity": len(stream)}})
-                    else:
-                        bits, ends = unpack(stream), head.bits + np.cumsum(sizes)
-                        chunks = max(1, -(-shape.blocks // chunk_blocks))
-                        for i in range(chunks):
-                            a, b = shape.blocks * i // chunks, shape.blocks * (i + 1) // chunks
-                            low, high = int(ends[a] - sizes[a]), int(ends[b - 1])
-                            rows.append(common | {"chunk_id": i, "first_block": a, "n_blocks": b - a, "nbits": high - low, "block_nbits": sizes[a:b].astype(np.int32), "payload": pack(bits[low:high])})
-                except ValueError as e:
-                    rows.append({"error": {"kind": type(e).__name__, "required": None, "capacity": len(stream)}})
-                columns = ["chunk_id", "first_block", "n_blocks", "nbits", "block_nbits", "payload", "scalar_type", "dims", "mode_word", "error"]
-                out = pd.DataFrame(rows).reindex(columns=columns)
-                for c in ("chunk_id", "first_block", "nbits", "n_blocks", "mode_word"):
-                    out[c] = pd.array([None if v is None or v != v else int(v) for v in out[c]], "Int64")
-                for c in ("block_nbits", "payload", "scalar_type", "dims", "error"):
-                    out[c] = pd.Series([None if isinstance(v, float) else v for v in out[c]], dtype=object)
-                for k, c in enumerate(by):
-                    out.insert(k, c, [name[k]] * len(out))
-                yield out
-
-    names = _fields(streams.schema, by)
-    return streams.select(*by, "stream").mapInPandas(each, f"{names}, {CHUNKS}, scalar_type string, dims array<long>, mode_word long, error {ERROR}")
+            for k, words in enumerate(batch.column("words")):
+                new = {c: batch.column(c).slice(k, 1) for c in by}
+                if opening is None or any(not new[c].equals(opening.name[c]) for c in by):
+                    if opening is not None:
+                        yield from opening.more(b"", last=True)
+                    opening = _Opening({c: pa.array(v.to_pylist(), v.type) for c, v in new.items()}, known, rounding, chunk_blocks)
+                yield from opening.more(memoryview(words.as_buffer()))
+        if opening is not None:
+            yield from opening.more(b"", last=True)
+
+    rows = parts.select(*by, "part", "words").repartition(*by).sortWithinPartitions(*by, "part").drop("part")
+    return rows.mapInArrow(each, f"{_fields(parts.schema, by)}, {OPENED_SQL}").repartition(*by, "chunk_id")
 
 
 # ---- arrays: a field a row

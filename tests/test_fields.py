@@ -203,3 +203,52 @@ def test_arrays_of_many_lengths(spark):
     for r in df.collect():
         want = codec.encode_values(np.array(r.v), scalar("f64"), (len(r.v),), cfg) if r.v else None
         assert (bytes(r.s) if r.s is not None else None) == want
+
+
+@pytest.mark.parametrize("cfg", [Config.reversible(), Config.fixed_rate(7, "f64", 1), Config.fixed_precision(1)])
+def test_streams_in_parts(spark, cfg):
+    dims = (203,)
+    chunks = codec.encode(B.tile(long_form(spark, sample(dims, "f64"), dims, "f64"), dims), "f64", dims, cfg, chunk_blocks=2)
+    chunks = chunks.unionByName(chunks.withColumn("field_id", F.lit("again"))).cache()
+    header = ("magic", "meta", "mode")
+    streams = codec.assemble(chunks, ["field_id"], "f64", dims, cfg, header=header)
+    parts = codec.assemble_parts(chunks, ["field_id"], "f64", dims, cfg, header=header).cache()
+    whole = {r.field_id: bytes(r.stream) for r in streams.collect()}
+    joined = {f: b"".join(bytes(r.words) for r in parts.where(F.col("field_id") == f).orderBy("part").collect()) for f in whole}
+    assert len(whole) == 2 and joined == whole and parts.count() > 2 * len(whole)
+    got, want = ([r.asDict(True) for r in df.orderBy("field_id", "chunk_id").collect()] for df in (codec.open_parts(parts, ["field_id"], chunk_blocks=3), codec.open_stream(streams, ["field_id"], chunk_blocks=3)))
+    assert got == want and len(got) > 2 and got[0]["error"] is None
+
+
+def test_parts_end_early(spark):
+    dims, cfg = (80,), Config.fixed_rate(64, "f64", 1)
+    stream = codec.encode_values(sample(dims, "f64"), scalar("f64"), dims, cfg)
+    df = spark.createDataFrame([(1, k, bytearray(stream[8 * k : 8 * k + 8])) for k in range(50)], "n int, part long, words binary")
+    rows = codec.open_parts(df, ["n"], "f64", dims, cfg, chunk_blocks=5).collect()
+    assert sorted(r.chunk_id for r in rows if r.error is None) == [0, 1]
+    assert [(r.error.kind, r.error.required, r.error.capacity) for r in rows if r.error] == [("Truncated", 480, 400)]
+    bad = spark.createDataFrame([(1, 0, bytearray(b"not a stream"))], "n int, part long, words binary")
+    assert codec.open_parts(bad, ["n"]).first().error.kind == "InvalidMagic"
+
+
+def test_joined_pieces():
+    """Joining and cutting bits take words, not a byte a bit."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    pieces = [(rng.integers(0, 256, 9, np.uint8).tobytes(), int(n)) for n in rng.integers(0, 73, 200)]
+    out, want = codec.Joiner(0b101, 3), [1, 0, 1]
+    got = b"".join([*(out.add(p, n) for p, n in pieces), out.close()])
+    for p, n in pieces:
+        want += np.unpackbits(np.frombuffer(p, np.uint8), bitorder="little")[:n].tolist()
+    assert got == codec.pack(np.array(want + [0] * (-len(want) % 64), np.uint8))
+    at = 3
+    for p, n in pieces:
+        assert codec.cut_bits(got, at, at + n) == codec.pack(np.array(want[at : at + n], np.uint8))
+        at += n
+    big = bytes(1 << 20)
+    tracemalloc.start()
+    codec.Joiner(1, 3).add(big, 8 << 20)
+    codec.cut_bits(big, 3, (8 << 20) - 3)
+    assert tracemalloc.get_traced_memory()[1] < 5 << 20
+    tracemalloc.stop()
