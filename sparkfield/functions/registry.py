@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from .expr import PROMOTED
 HEADER = "struct<bits:int,scalar_type:string,dims:array<bigint>,min_bits:int,max_bits:int,max_prec:int,min_exp:int,error:string>"
 
 
+ROWS = 2048  # coded in one call
+
+
 def _config(a, b, c, e) -> Config:
     return Config(int(a), int(b), int(c), int(e))
 
@@ -31,33 +36,90 @@ def _each(f, returns: str):
     return F.pandas_udf(rows, returns)
 
 
-def encode_block(kind: str, vals, a, b, c, e) -> bytes:
-    rank = {4: 1, 16: 2, 64: 3, 256: 4}.get(len(vals))
+def _together(f, data: tuple[int, ...], returns: str, to: pa.DataType, sized: bool = False):
+    """A function of Arrow columns: rows with the same parameters, all columns but ``data``, are one call, up to ``ROWS`` of them.
+
+    Where ``sized``, so are only rows whose lists among the data have one length. Null in, null out.
+    """
+
+    def rows(*columns: pa.Array) -> pa.Array:
+        n = len(columns[0])
+        there = np.ones(n, bool)
+        for c in columns:
+            there &= c.is_valid().to_numpy(zero_copy_only=False)
+        keys = [[tuple(v) if isinstance(v, list) else v for v in c.to_pylist()] for k, c in enumerate(columns) if k not in data]
+        lists = [pc.list_value_length(columns[k]).to_pylist() for k in data if sized and pa.types.is_list(columns[k].type)]
+        groups: dict[tuple, list[int]] = {}
+        for k, key in enumerate(zip(range(n), *lists, *keys)):
+            if there[k]:
+                groups.setdefault(key[1:], []).append(k)
+        order, parts = [], []
+        for key, places in groups.items():
+            for k in range(0, len(places), ROWS):
+                some = pa.array(places[k : k + ROWS], pa.int64())
+                parts.append(f(*[columns[c].take(some) for c in data], *key[len(lists) :]))
+            order += places
+        if not parts:
+            return pa.nulls(n, to)
+        out = pa.concat_arrays(parts)
+        if order == list(range(n)):
+            return out
+        index = np.full(n, -1)
+        index[order] = np.arange(len(order))
+        return out.take(pa.array(index, mask=index < 0))
+
+    return F.arrow_udf(rows, returns)
+
+
+def _numbers(lists: pa.Array, kind: str) -> np.ndarray:
+    flat = lists.flatten()
+    if flat.null_count and not scalar(kind).is_float:
+        raise ValueError("integers of a block or field must not be null")
+    return flat.to_numpy(zero_copy_only=False).astype(scalar(kind).dtype, copy=False)
+
+
+def _lists(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(flat))
+
+
+def _matrix_lists(matrix: np.ndarray) -> pa.Array:
+    return _lists(np.ascontiguousarray(matrix).reshape(-1), np.full(len(matrix), matrix.shape[1]))
+
+
+def _coded(values: np.ndarray, kind: str, rank: int, cfg: Config) -> pa.Array:
+    """Blocks as payloads of their own."""
+    step = max(1, codec.VALUES_TOGETHER // 4**rank)
+    pieces = [kernels.encode_blocks(values[k : k + step], kind, rank, cfg) for k in range(0, len(values), step)]
+    return pa.array([p for bits, sizes in pieces for p in codec.packed_apart(bits, sizes, 8)], pa.binary())
+
+
+def encode_block(vals: pa.Array, kind: str, a, b, c, e) -> pa.Array:
+    size = len(vals[0])
+    rank = {4: 1, 16: 2, 64: 3, 256: 4}.get(size)
     if rank is None:
-        raise BlockLength(f"{len(vals)} values")
-    bits, _ = kernels.encode_blocks(np.asarray(vals, scalar(kind).dtype)[None, :], kind, rank, _config(a, b, c, e))
-    return codec.pack(bits)
+        raise BlockLength(f"{size} values")
+    return _coded(_numbers(vals, kind).reshape(-1, size), kind, rank, _config(a, b, c, e))
 
 
-def _exact_as_doubles(values: np.ndarray) -> list:
+def _exact_as_doubles(values: np.ndarray) -> np.ndarray:
     """As doubles, which do not hold all 64-bit integers."""
     out = values.astype(float)
     if values.dtype.kind == "i" and (np.abs(out) > 2.0**53).any():
         raise ValueError("integers over 2 ** 53 are not all doubles: use the function of their type, like field_decode_i64")
-    return out.tolist()
+    return out
 
 
-def _decoded_block(payload: bytes, kind: str, rank, a, b, c, e) -> np.ndarray:
-    return kernels.decode_blocks(kernels.Bits(payload), np.array([0]), kind, int(rank), _config(a, b, c, e))[0][0]
+def decode_block(payloads: pa.Array, kind: str, rank, a, b, c, e) -> pa.Array:
+    return _matrix_lists(_exact_as_doubles(_decoded_blocks(payloads, kind, rank, _config(a, b, c, e))))
 
 
-def decode_block(payload: bytes, kind: str, rank, a, b, c, e) -> list:
-    return _exact_as_doubles(_decoded_block(payload, kind, rank, a, b, c, e))
+def _decoded_blocks(payloads: pa.Array, kind: str, rank, cfg: Config) -> np.ndarray:
+    return codec.decode_apart(payloads.to_pylist(), scalar(kind), int(rank), cfg)
 
 
 def decode_block_as(kind: str):
-    def of_kind(payload: bytes, rank, a, b, c, e) -> list:
-        return _decoded_block(payload, kind, rank, a, b, c, e).tolist()
+    def of_kind(payloads: pa.Array, rank, a, b, c, e) -> pa.Array:
+        return _matrix_lists(_decoded_blocks(payloads, kind, rank, _config(a, b, c, e)))
 
     return of_kind
 
@@ -76,37 +138,41 @@ def _reach(size: int, start, lengths, strides) -> tuple[int, np.ndarray, np.ndar
     return len(lengths), at, inside
 
 
-def encode_block_strided(kind: str, vals, start, lengths, strides, a, b, c, e) -> bytes:
-    """A block, whole or partial, straight from a strided buffer; ``start`` is its first element, counted from 0."""
-    rank, at, _ = _reach(len(vals), start, lengths, strides)
-    bits, _ = kernels.encode_blocks(np.asarray(vals, scalar(kind).dtype)[at][None, :], kind, rank, _config(a, b, c, e))
-    return codec.pack(bits)
+def encode_block_strided(vals: pa.Array, kind: str, start, lengths, strides, a, b, c, e) -> pa.Array:
+    """Blocks, whole or partial, straight from strided buffers; ``start`` is their first element, counted from 0."""
+    size = len(vals[0])
+    rank, at, _ = _reach(size, start, lengths, strides)
+    return _coded(_numbers(vals, kind).reshape(-1, size)[:, at], kind, rank, _config(a, b, c, e))
 
 
 def decode_block_strided_as(kind: str):
-    def of_kind(payload: bytes, buffer, start, lengths, strides, a, b, c, e) -> list:
-        """The buffer with the block's values in their places; all others stay."""
-        rank, at, inside = _reach(len(buffer), start, lengths, strides)
+    def of_kind(payloads: pa.Array, buffers: pa.Array, start, lengths, strides, a, b, c, e) -> pa.Array:
+        """The buffers with the blocks' values in their places; all others stay."""
+        size = len(buffers[0])
+        rank, at, inside = _reach(size, start, lengths, strides)
         if len(set(at[inside].tolist())) < inside.sum():
             raise BlockLength("strides put two values in one place")
-        out = np.array(buffer, scalar(kind).dtype)
-        out[at[inside]] = _decoded_block(payload, kind, rank, a, b, c, e)[inside]
-        return out.tolist()
+        out = _numbers(buffers, kind).reshape(-1, size).copy()
+        out[:, at[inside]] = _decoded_blocks(payloads, kind, rank, _config(a, b, c, e))[:, inside]
+        return _matrix_lists(out)
 
     return of_kind
 
 
-def encode_field(kind: str, vals, a, b, c, e) -> bytes:
-    return codec.encode_values(np.asarray(vals), scalar(kind), (len(vals),), _config(a, b, c, e))
+def encode_field(vals: pa.Array, kind: str, a, b, c, e) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(vals).to_numpy()))).astype(np.int64)
+    return pa.array(codec.encode_runs(_numbers(vals, kind), offsets, scalar(kind), _config(a, b, c, e)), pa.binary())
 
 
-def decode_field(stream: bytes, kind: str, n, a, b, c, e) -> list:
-    return _exact_as_doubles(codec.decode_values(stream, scalar(kind), (int(n),), _config(a, b, c, e)))
+def decode_field(streams: pa.Array, n: pa.Array, kind: str, a, b, c, e) -> pa.Array:
+    lengths = n.to_numpy().astype(np.int64)
+    return _lists(_exact_as_doubles(codec.decode_runs(streams.to_pylist(), lengths, scalar(kind), _config(a, b, c, e))), lengths)
 
 
 def decode_field_as(kind: str):
-    def of_kind(stream: bytes, n, a, b, c, e) -> list:
-        return codec.decode_values(stream, scalar(kind), (int(n),), _config(a, b, c, e)).tolist()
+    def of_kind(streams: pa.Array, n: pa.Array, a, b, c, e) -> pa.Array:
+        lengths = n.to_numpy().astype(np.int64)
+        return _lists(codec.decode_runs(streams.to_pylist(), lengths, scalar(kind), _config(a, b, c, e)), lengths)
 
     return of_kind
 
@@ -153,21 +219,24 @@ MACROS = (
 
 
 def register(spark: SparkSession) -> None:
-    """Array functions as vectorised Python; arithmetic as SQL macros that Catalyst inlines."""
+    """Array functions as vectorised Python, on Arrow columns where they code; arithmetic as SQL macros that Catalyst inlines."""
     for name, f, returns in (
-        ("field_encode_block", encode_block, "binary"),
-        ("field_decode_block", decode_block, "array<double>"),
-        ("field_encode", encode_field, "binary"),
-        ("field_decode", decode_field, "array<double>"),
         ("field_header", field_header, "binary"),
         ("field_maximum_size", maximum_size, "bigint"),
         ("field_bits_consumed", bits_consumed, "bigint"),
-        ("field_encode_block_strided", encode_block_strided, "binary"),
-        *[(f"field_decode_block_strided_{kind}", decode_block_strided_as(kind), f"array<{s.sql}>") for kind, s in SCALARS.items()],
-        *[(f"field_decode_block_{kind}", decode_block_as(kind), f"array<{s.sql}>") for kind, s in SCALARS.items()],
-        *[(f"field_decode_{kind}", decode_field_as(kind), f"array<{s.sql}>") for kind, s in SCALARS.items()],
     ):
         spark.udf.register(name, _each(f, returns))
+    binary, doubles = pa.binary(), pa.list_(pa.float64())
+    spark.udf.register("field_encode_block", _together(encode_block, (1,), "binary", binary, sized=True))
+    spark.udf.register("field_decode_block", _together(decode_block, (0,), "array<double>", doubles))
+    spark.udf.register("field_encode", _together(encode_field, (1,), "binary", binary))
+    spark.udf.register("field_decode", _together(decode_field, (0, 2), "array<double>", doubles))
+    spark.udf.register("field_encode_block_strided", _together(encode_block_strided, (1,), "binary", binary, sized=True))
+    for kind, s in SCALARS.items():
+        returns, to = f"array<{s.sql}>", pa.list_(pa.from_numpy_dtype(np.dtype(s.dtype)))
+        spark.udf.register(f"field_decode_block_strided_{kind}", _together(decode_block_strided_as(kind), (0, 1), returns, to, sized=True))
+        spark.udf.register(f"field_decode_block_{kind}", _together(decode_block_as(kind), (0,), returns, to))
+        spark.udf.register(f"field_decode_{kind}", _together(decode_field_as(kind), (0, 1), returns, to))
 
     def headers(streams: pd.Series) -> pd.DataFrame:
         names = ["bits", "scalar_type", "dims", "min_bits", "max_bits", "max_prec", "min_exp", "error"]

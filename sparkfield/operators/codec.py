@@ -31,6 +31,7 @@ from .header import Header, read_header, write_header
 CHUNK_BLOCKS = 4096
 CHUNKS = "chunk_id long, first_block long, n_blocks int, nbits long, block_nbits array<int>, payload binary"
 BATCH_VALUES = 1 << 18  # decoded or encoded at once
+VALUES_TOGETHER = 1 << 15  # of arrays coded together, as their streams are set apart by a number a bit
 
 
 def _fields(schema: StructType, names: list[str]) -> str:
@@ -440,14 +441,13 @@ def encode_values(values: np.ndarray, kind: Scalar, dims: tuple[int, ...], cfg:
     return data + bytes(-len(data) % 8)
 
 
-def encode_rows(matrix: np.ndarray, kind: Scalar, cfg: Config) -> list[bytes]:
-    """A 1-D stream of each row, all rows' blocks coded together."""
-    rows, n = matrix.shape
-    starts = np.arange(0, n, 4)
-    places = np.concatenate([first + kernels.padded_source(min(4, n - first)) for first in starts.tolist()])
-    bits, sizes = _limited(matrix[:, places].reshape(-1, 4).astype(kind.dtype), kind, 1, cfg)
-    used = sizes.reshape(rows, len(starts)).sum(axis=1)
-    whole = -(-used // 64) * 64
+ROWS_TOGETHER = 32  # from so many arrays on, their blocks are decoded step by step together
+_PLACES = np.stack([kernels.padded_source(n) for n in range(1, 5)])
+
+
+def packed_apart(bits: np.ndarray, used: np.ndarray, unit: int) -> list[bytes]:
+    """The bits of rows one behind the other, ``used`` of each, as bytes of their own in whole ``unit``s of bits."""
+    whole = -(-used // unit) * unit
     begin = np.cumsum(whole) - whole
     spread = np.zeros(int(whole.sum()), np.uint8)
     spread[np.arange(len(bits)) + np.repeat(begin - (np.cumsum(used) - used), used)] = bits
@@ -455,6 +455,66 @@ def encode_rows(matrix: np.ndarray, kind: Scalar, cfg: Config) -> list[bytes]:
     return [data[a // 8 : (a + w) // 8] for a, w in zip(begin.tolist(), whole.tolist())]
 
 
+def encode_runs(flat: np.ndarray, offsets: np.ndarray, kind: Scalar, cfg: Config) -> list[bytes]:
+    """A 1-D stream of each run between ``offsets``; blocks of many runs are coded together, within a bound."""
+    out: list[bytes] = []
+    k, rows = 0, len(offsets) - 1
+    while k < rows:
+        stop = max(k + 1, int(np.searchsorted(offsets, offsets[k] + VALUES_TOGETHER, "right")) - 1)
+        starts, lengths = offsets[k:stop], np.diff(offsets[k : stop + 1])
+        if stop == k + 1 or not lengths.all():
+            out += [encode_values(flat[a : a + n], kind, (n,), cfg) for a, n in zip(starts.tolist(), lengths.tolist())]
+        else:
+            blocks = -(-lengths // 4)
+            first = np.cumsum(blocks) - blocks
+            inner = 4 * (np.arange(blocks.sum()) - np.repeat(first, blocks))
+            places = _PLACES[np.minimum(np.repeat(lengths, blocks) - inner, 4) - 1]
+            bits, sizes = _limited(flat[(np.repeat(starts, blocks) + inner)[:, None] + places].astype(kind.dtype, copy=False), kind, 1, cfg)
+            out += packed_apart(bits, np.add.reduceat(sizes, first), 64)
+        k = stop
+    return out
+
+
+def encode_rows(matrix: np.ndarray, kind: Scalar, cfg: Config) -> list[bytes]:
+    """A 1-D stream of each row."""
+    rows, n = matrix.shape
+    return encode_runs(matrix.reshape(-1), np.arange(rows + 1) * n, kind, cfg)
+
+
+def decode_apart(payloads: list, kind: Scalar, rank: int, cfg: Config) -> np.ndarray:
+    """The block that each payload begins with."""
+    sizes = 8 * np.array([len(p) for p in payloads], np.int64)
+    values, used = kernels.decode_blocks(kernels.Bits(b"".join(payloads)), np.cumsum(sizes) - sizes, kind, rank, cfg)
+    for k in np.flatnonzero(used > sizes).tolist():  # beyond a payload's end are zeros, not the next one
+        values[k] = kernels.decode_blocks(kernels.Bits(payloads[k]), np.array([0]), kind, rank, cfg)[0][0]
+    return values
+
+
+def decode_runs(streams: list, lengths: np.ndarray, kind: Scalar, cfg: Config) -> np.ndarray:
+    """The values of 1-D streams one behind the other. Blocks of many streams are decoded together, of a few long ones each by itself."""
+    blocks = -(-lengths // 4)
+    most = int(np.sort(blocks)[-ROWS_TOGETHER]) if len(blocks) >= ROWS_TOGETHER and lengths.min() > 0 else 0
+    begin = np.cumsum(lengths) - lengths
+    out = np.zeros(max(int(lengths.sum()), 0), kind.dtype)
+    alone = np.flatnonzero((blocks > most) | (blocks <= 0)).tolist()
+    order = np.argsort(-blocks, kind="stable")
+    order = order[blocks[order] <= most] if most else order[:0]
+    sizes = 8 * np.array([len(streams[k]) for k in order.tolist()], np.int64)
+    base, bits = np.cumsum(sizes) - sizes, kernels.Bits(b"".join([streams[k] for k in order.tolist()]))
+    at = base.copy()
+    for step in range(most):
+        live = int(np.searchsorted(-blocks[order], -step))
+        values, used = kernels.decode_blocks(bits, at[:live], kind, 1, cfg)
+        at[:live] += used
+        places = (begin[order[:live]] + 4 * step)[:, None] + np.arange(4)
+        inside = np.arange(4) < (lengths[order[:live]] - 4 * step)[:, None]
+        out[places[inside]] = values[inside]
+    # Beyond a stream's end are zeros, not the next one.
+    for k in alone + order[at - base > sizes].tolist():
+        out[begin[k] : begin[k] + max(int(lengths[k]), 0)] = decode_values(streams[k], kind, (int(lengths[k]),), cfg)
+    return out
+
+
 def decode_values(stream: bytes, kind: Scalar, dims: tuple[int, ...], cfg: Config) -> np.ndarray:
     shape = Shape.of(dims)
     sizes = walk(stream, 0, kind, shape, cfg)
